@@ -82,7 +82,7 @@ def main(argv):
         else:
             names.append(a)
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     if names:
