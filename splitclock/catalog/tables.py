@@ -543,23 +543,27 @@ def metrics_by_class(spark, d):
     return rounded(ag.metrics_by_class(_scored(spark, d), "ratio_to_class_best", "baseline_ratio"))
 
 
-@query("rank_agreement")
+@query("rank_agreement", with_ctes(SCORED, """SELECT count(*) AS groups, round(avg(r), 4) AS mean_spearman, round(avg(CASE WHEN r > 0.9 THEN 1.0 ELSE 0.0 END), 4) AS share_above_0_9 FROM (
+   SELECT stage_id, corr(ry, rp) AS r FROM (SELECT stage_id, rank() OVER (PARTITION BY stage_id ORDER BY ratio_to_class_best) + (count(*) OVER (PARTITION BY stage_id, ratio_to_class_best) - 1) / 2.0 AS ry,
+     rank() OVER (PARTITION BY stage_id ORDER BY baseline_ratio) + (count(*) OVER (PARTITION BY stage_id, baseline_ratio) - 1) / 2.0 AS rp FROM scored) GROUP BY 1 HAVING count(*) >= 3)"""))
 def rank_agreement(spark, d):
-    return rounded(ag.rank_agreement(_scored(spark, d), "ratio_to_class_best", "baseline_ratio"))
+    return rounded(ag.rank_agreement(_scored(spark, d), "ratio_to_class_best", "baseline_ratio"), 4)
 
 
 STEWARD = fx.RATED + """,
-ref AS (SELECT driver_id, rally_id, avg((time_seconds - class_best_time) / stage_length_km) AS dk, avg(time_seconds / class_best_time) AS ar, count(*) AS n FROM rated WHERE stage_number < 8 GROUP BY 1, 2),
-tgt AS (SELECT driver_id, rally_id, stage_length_km, class_best_time FROM rated WHERE stage_number = 8)
+ref AS (SELECT driver_id, rally_id, avg((time_seconds - class_best_time) / stage_length_km) AS dk, avg(time_seconds / class_best_time) AS ar, count(*) AS n FROM rated WHERE stage_number < 8
+  AND CAST(round(time_seconds * 100) AS BIGINT) % 6000 <> 0 AND CAST(round(class_best_time * 100) AS BIGINT) % 6000 <> 0 GROUP BY 1, 2),
+tgt AS (SELECT driver_id, rally_id, stage_length_km, CASE WHEN CAST(round(class_best_time * 100) AS BIGINT) % 6000 <> 0 THEN class_best_time END AS class_best_time FROM rated WHERE stage_number = 8)
 """
 
 
 @query("steward_estimate", with_ctes(STEWARD, """SELECT concat(t.rally_id, '_', t.driver_id) AS request_id, coalesce(n, 0) AS used_stage_count, round(dk, 4) AS average_diff_per_km, round(ar, 4) AS average_ratio,
-   round(class_best_time + dk * stage_length_km, 3) AS km_based_prediction_seconds, round(class_best_time * ar, 3) AS percentage_prediction_seconds, n IS NOT NULL AND n = 1 AS single_stage_warning
+   round(class_best_time + dk * stage_length_km, 3) AS km_based_prediction_seconds, round(class_best_time * ar, 3) AS percentage_prediction_seconds, class_best_time IS NOT NULL AND n IS NOT NULL AND n = 1 AS single_stage_warning
    FROM tgt t LEFT JOIN ref USING (driver_id, rally_id)"""))
 def steward_estimate(spark, d):
     rated = fx.rated_results(spark, d)
-    as_text = lambda c: F.format_string("%d:%06.3f", F.floor(F.col(c) / 60), F.col(c) - F.floor(F.col(c) / 60) * 60)
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    as_text = lambda c: F.format_string("%d:%02d.%02d", F.floor(cents(c) / 6000), F.floor(cents(c) / 100) % 60, cents(c) % 100)
     rows = rated.select(
         F.concat("rally_id", F.lit("_"), "driver_id").alias("request_id"), "stage_number", F.col("stage_length_km").alias("km"),
         as_text("class_best_time").alias("best_time"), as_text("time_seconds").alias("driver_time"),

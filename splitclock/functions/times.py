@@ -157,7 +157,7 @@ def format_minutes(seconds: Column, decimals: int = 2) -> Column:
 
 def format_manual(seconds: Column) -> Column:
     """``MM:SS:mmm`` with a sign, rounded to the millisecond before it is cut into parts."""
-    millis = F.round(F.abs(seconds) * 1000).cast("bigint")
+    millis = F.bround(F.abs(seconds) * 1000).cast("bigint")
     total = F.floor(millis / 1000).cast("bigint")
     return F.concat(
         F.when(seconds < 0, "-").otherwise(""),
@@ -166,8 +166,8 @@ def format_manual(seconds: Column) -> Column:
 
 
 def format_collector(seconds: Column) -> Column:
-    """``MM:SS,t``; tenths are rounded but never carried."""
-    tenths = F.least(F.round((seconds - F.floor(seconds)) * 10).cast("bigint"), F.lit(9).cast("bigint"))
+    """``MM:SS,t``; tenths are rounded half to even but never carried."""
+    tenths = F.least(F.bround((seconds - F.floor(seconds)) * 10).cast("bigint"), F.lit(9).cast("bigint"))
     return F.when(seconds.isNull() | (seconds <= 0), "00:00,0").otherwise(
         F.format_string("%02d:%02d,%d", _minutes(seconds), F.floor(_rest(seconds)).cast("bigint"), tenths)
     )

@@ -149,3 +149,14 @@ def anomaly_report(tagged: DataFrame) -> DataFrame:
     counts = tagged.groupBy(F.coalesce("anomaly_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
     total = tagged.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.col("rows") / total)
+
+
+def repair_time_seconds(df: DataFrame, limit: float = 1.0) -> DataFrame:
+    """Recompute seconds from the time text and the length from the stage title; ``changed`` marks rows whose stored
+    time is off by more than ``limit`` seconds. A row without a stored time is never marked."""
+    from splitclock.functions.text import length_from_name
+    from splitclock.functions.times import parse_live_time
+
+    new = parse_live_time(F.coalesce("time_str", F.lit("")))
+    off = F.coalesce(F.abs(F.nullif("time_seconds", F.lit(0.0)) - new) > limit, F.lit(False))
+    return df.withColumns({"new_time": new, "changed": off, "new_length": length_from_name(F.col("stage_name"))})
