@@ -32,10 +32,12 @@ def with_ctes(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that sums in another order compare equal."""
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Round every double column, so that sums in another order compare equal; ``other`` names columns with digits
+    of their own."""
     cols: list[Column] = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        cols.append(F.round(c, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c)
+        real = isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        cols.append(F.round(c, other.get(f.name, digits)).alias(f.name) if real else c)
     return df.select(*cols)

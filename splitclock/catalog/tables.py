@@ -557,8 +557,8 @@ tgt AS (SELECT driver_id, rally_id, stage_length_km, CASE WHEN CAST(round(class_
 """
 
 
-@query("steward_estimate", with_ctes(STEWARD, """SELECT concat(t.rally_id, '_', t.driver_id) AS request_id, coalesce(n, 0) AS used_stage_count, round(dk, 4) AS average_diff_per_km, round(ar, 4) AS average_ratio,
-   round(class_best_time + dk * stage_length_km, 3) AS km_based_prediction_seconds, round(class_best_time * ar, 3) AS percentage_prediction_seconds, class_best_time IS NOT NULL AND n IS NOT NULL AND n = 1 AS single_stage_warning
+@query("steward_estimate", with_ctes(STEWARD, """SELECT concat(t.rally_id, '_', t.driver_id) AS request_id, coalesce(n, 0) AS used_stage_count, round(dk, 8) AS average_diff_per_km, round(ar, 8) AS average_ratio,
+   round(class_best_time + dk * stage_length_km, 8) AS km_based_prediction_seconds, round(class_best_time * ar, 8) AS percentage_prediction_seconds, class_best_time IS NOT NULL AND n IS NOT NULL AND n = 1 AS single_stage_warning
    FROM tgt t LEFT JOIN ref USING (driver_id, rally_id)"""))
 def steward_estimate(spark, d):
     rated = fx.rated_results(spark, d)
@@ -570,7 +570,7 @@ def steward_estimate(spark, d):
     )
     out = ag.steward_estimate(rows.where("stage_number < 8"), rows.where("stage_number = 8"))
     out = out.select("request_id", "used_stage_count", "average_diff_per_km", "average_ratio", "km_based_prediction_seconds", "percentage_prediction_seconds", "single_stage_warning")
-    return out.withColumns({c: F.round(c, 4) for c in ("average_diff_per_km", "average_ratio")} | {c: F.round(c, 3) for c in ("km_based_prediction_seconds", "percentage_prediction_seconds")})
+    return rounded(out, 8)
 
 
 # ---- sorts, top-k, set operations ------------------------------------------------------------------------------

@@ -37,13 +37,13 @@ def turn_angle(bearing_in: Column, bearing_out: Column) -> Column:
 
 
 def local_x(lat0: Column, lon0: Column, lon: Column) -> Column:
-    d = haversine_m(lat0, lon0, lat0, lon)
-    return F.when(lon < lon0, -d).otherwise(d)
+    """Metres east of the origin, along its parallel."""
+    return F.when(lon < lon0, -1.0).otherwise(1.0) * haversine_m(lat0, lon0, lat0, lon)
 
 
 def local_y(lat0: Column, lon0: Column, lat: Column) -> Column:
-    d = haversine_m(lat0, lon0, lat, lon0)
-    return F.when(lat < lat0, -d).otherwise(d)
+    """Metres north of the origin, along its meridian."""
+    return F.when(lat < lat0, -1.0).otherwise(1.0) * haversine_m(lat0, lon0, lat, lon0)
 
 
 def hypot(dx: Column, dy: Column) -> Column:

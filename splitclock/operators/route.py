@@ -7,10 +7,21 @@ inside a chunk; sums over a route are carried from chunk to chunk. A route of an
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splitclock.functions.geo import bearing_deg, circumradius, curvature_3pt, haversine_m, hypot, local_x, local_y, turn_angle, utm36_xy, wrap_pi
-from splitclock.operators.series import CHUNK, chunk_window, core, exact_quantiles, in_chunks, running_sum, with_position
+from splitclock.operators.series import (
+    CHUNK,
+    chunk_window,
+    core,
+    exact_quantiles,
+    group_stats,
+    in_chunks,
+    log_bucket,
+    running_sum,
+    with_position,
+)
 
 KEY = ["route_id"]
 
@@ -67,10 +78,14 @@ def vertices(points: DataFrame, size: int = CHUNK) -> DataFrame:
     plat, plon, nlat, nlon = F.lag("lat").over(w), F.lag("lon").over(w), F.lead("lat").over(w), F.lead("lon").over(w)
     c = c.withColumns({"_plat": plat, "_plon": plon, "_nlat": nlat, "_nlon": nlon})
     p1, p2, n1, n2 = (F.col(x) for x in ("_plat", "_plon", "_nlat", "_nlon"))
-    angle = turn_angle(bearing_deg(p1, p2, lat, lon), bearing_deg(lat, lon, n1, n2))
-    bend = curvature_3pt(local_x(lat, lon, p2), local_y(lat, lon, p1), local_x(lat, lon, n2), local_y(lat, lon, n1))
     out = core(c).where(p1.isNotNull() & n1.isNotNull())
-    return out.select("route_id", "seq", angle.alias("turn_deg"), bend.alias("curvature"))
+    # Bearings and local metres become columns of their own, so that nothing below computes them twice.
+    out = out.select(
+        "route_id", "seq", bearing_deg(p1, p2, lat, lon).alias("_in"), bearing_deg(lat, lon, n1, n2).alias("_out"),
+        local_x(lat, lon, p2).alias("_x1"), local_y(lat, lon, p1).alias("_y1"), local_x(lat, lon, n2).alias("_x3"), local_y(lat, lon, n1).alias("_y3"),
+    )
+    bend = curvature_3pt(F.col("_x1"), F.col("_y1"), F.col("_x3"), F.col("_y3"))
+    return out.select("route_id", "seq", turn_angle(F.col("_in"), F.col("_out")).alias("turn_deg"), bend.alias("curvature"))
 
 
 def turn_summary(points: DataFrame, hairpin_deg: float = 120.0, turn_deg: float = 45.0, size: int = CHUNK) -> DataFrame:
@@ -137,20 +152,28 @@ def smooth_path(samples: DataFrame, half: int = 3, columns=("x", "y"), size: int
     return core(c.withColumns({f"s{n}": F.avg(n).over(w) for n in columns})).drop("_p")
 
 
-def heading_curvature(samples: DataFrame, step: float = 10.0, half: int = 3, size: int = CHUNK) -> DataFrame:
+def heading_curvature(samples: DataFrame, step: float = 10.0, half: int = 3, size: int = CHUNK, zero_is_positive: bool = False, short_as_is: bool = True) -> DataFrame:
     """Smoothed samples with signed curvature (heading change per metre), circumradius and sign change. One shuffle:
-    smoothing, headings and sign changes all fit into a halo of ``half + 2`` samples."""
+    smoothing, headings and sign changes all fit into a halo of ``half + 2`` samples.
+
+    ``short_as_is`` leaves lines with fewer samples than the smoothing window unsmoothed. ``zero_is_positive`` gives a
+    curvature of exactly 0 the positive sign instead of a sign of its own.
+    """
     placed = samples.withColumn("_p", F.col("sample") + 1)
     c = in_chunks(placed, KEY, "_p", before=half + 2, after=half + 1, size=size)
     w = chunk_window(KEY, "_p")
     smooth = w.rowsBetween(-half, half)
-    c = c.withColumns({"sx": F.avg("x").over(smooth), "sy": F.avg("y").over(smooth)})
+    # Only a whole short line has so few samples in its first chunk.
+    short = (F.col("_chunk") == 0) & (_count().over(W.partitionBy(*KEY, "_chunk")) < 2 * half + 1) if short_as_is else F.lit(False)
+    c = c.withColumns({f"s{n}": F.when(short, F.col(n)).otherwise(F.avg(n).over(smooth)) for n in ("x", "y")})
     c = c.withColumns({"_px": F.lag("sx").over(w), "_py": F.lag("sy").over(w), "_nx": F.lead("sx").over(w), "_ny": F.lead("sy").over(w)})
     turn = F.atan2(F.col("_ny") - F.col("sy"), F.col("_nx") - F.col("sx")) - F.atan2(F.col("sy") - F.col("_py"), F.col("sx") - F.col("_px"))
     c = c.withColumn("signed_curvature", wrap_pi(turn) / step)
     c = c.withColumn("radius_m", F.when(F.col("signed_curvature").isNotNull(), circumradius(*[F.col(n) for n in ("_px", "_py", "sx", "sy", "_nx", "_ny")])))
-    before = F.lag("signed_curvature").over(w)
-    c = c.withColumn("sign_change", before.isNotNull() & (F.signum(before) != F.signum("signed_curvature")))
+    now = F.col("signed_curvature")
+    sign = F.when(now < 0, -1).when(now.isNotNull(), 1) if zero_is_positive else F.signum(now).cast("int")
+    c = c.withColumn("_sign", sign)
+    c = c.withColumn("sign_change", F.coalesce(F.lag("_sign").over(w) != F.col("_sign"), F.lit(False)))
     return core(c).select("route_id", "sample", "sx", "sy", "signed_curvature", "radius_m", "sign_change")
 
 
@@ -166,7 +189,7 @@ def path_features(points: DataFrame, variant: str = "analyzer", step: float = 10
         samples = utm_points(resample_path(points, step, planar=False, size=size, keep_end=True), long_series=False)
     else:
         samples = resample_path(points, step, size=size)
-    bends = heading_curvature(samples, step, size=size).withColumn("_abs", F.abs("signed_curvature"))
+    bends = heading_curvature(samples, step, size=size, zero_is_positive=optimized, short_as_is=not optimized).withColumn("_abs", F.abs("signed_curvature"))
     k = F.col("_abs") if optimized else F.coalesce("_abs", F.lit(0.0))
     bends = bends.withColumn("k", k)
     hairpin = F.coalesce(F.col("radius_m") < hairpin_m, F.lit(False))
@@ -195,8 +218,6 @@ def path_features(points: DataFrame, variant: str = "analyzer", step: float = 10
 
 def index_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
     """The value at zero-based place int(q * n) of the sorted values."""
-    from splitclock.operators.series import group_stats, log_bucket
-
     rows = df.where(F.col(value).isNotNull()).select("route_id", value).withColumn("_bucket", log_bucket(F.col(value)))
     ranked = group_stats(with_position(rows, KEY, [value], ["_bucket"]), KEY, {"_n": _count()})
     return ranked.groupBy("route_id").agg(F.max(F.when(F.col("position") == F.floor(F.col("_n") * F.lit(q)) + 1, F.col(value))).alias(name))
@@ -264,8 +285,11 @@ def _legs(points: DataFrame, size: int) -> DataFrame:
     c = c.withColumns({f"_{n}{i}": F.lead(n, i).over(w) for n in ("lat", "lon") for i in (1, 2)} | {"_alt1": F.lead("alt", 1).over(w)})
     c = core(c).where(F.col("_lat1").isNotNull())
     lat, lon, a1, o1, a2, o2 = (F.col(n) for n in ("lat", "lon", "_lat1", "_lon1", "_lat2", "_lon2"))
-    angle = F.when(a2.isNotNull(), turn_angle(bearing_deg(lat, lon, a1, o1), bearing_deg(a1, o1, a2, o2)))
-    return c.select("route_id", "seq", haversine_m(lat, lon, a1, o1).alias("leg_m"), (F.col("_alt1") - F.col("alt")).alias("rise_m"), angle.alias("turn_deg"))
+    c = c.select(
+        "route_id", "seq", haversine_m(lat, lon, a1, o1).alias("leg_m"), (F.col("_alt1") - F.col("alt")).alias("rise_m"),
+        bearing_deg(lat, lon, a1, o1).alias("_in"), F.when(a2.isNotNull(), bearing_deg(a1, o1, a2, o2)).alias("_out"),
+    )
+    return c.withColumn("turn_deg", turn_angle(F.col("_in"), F.col("_out"))).drop("_in", "_out")
 
 
 def _run_totals(legs: DataFrame, size: int) -> DataFrame:

@@ -115,18 +115,29 @@ def log_bucket(value: Column, per_octave: int = 512) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation between the two neighbouring values, per key."""
+    """Percentiles with linear interpolation between the two neighbouring values, per key.
+
+    Counts per value bucket tell in which buckets the wanted ranks lie; only the rows of those buckets are sorted.
+    """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_bucket", log_bucket(F.col(value)))
-    ranked = with_position(rows, keys, [value], ["_bucket"])
-    if keys:
-        counted = group_stats(ranked, keys, {"_n": F.count(F.lit(1))})
-    else:
-        counted = ranked.withColumn("_n", rows.agg(F.count(F.lit(1))).scalar())
-    out = []
+    totals = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    up_to = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns(
+        {"_before": F.coalesce(F.sum("_rows").over(up_to), F.lit(0)), "_n": F.sum("_rows").over(W.partitionBy(*keys))}
+    )
+    ranks = {}
+    wanted = F.lit(False)
     for name, q in quantiles.items():
         rank = (F.col("_n") - 1) * F.lit(float(q))
-        low = F.max(F.when(F.col("position") == F.floor(rank) + 1, F.col(value)))
-        high = F.max(F.when(F.col("position") == F.ceil(rank) + 1, F.col(value)))
-        fraction = F.max(rank - F.floor(rank))
-        out.append((low + (high - low) * fraction).alias(name))
-    return counted.groupBy(*keys).agg(*out)
+        ranks[name] = (rank, F.floor(rank) + 1, F.ceil(rank) + 1)
+        for place in ranks[name][1:]:
+            wanted = wanted | ((place > F.col("_before")) & (place <= F.col("_before") + F.col("_rows")))
+    hits = rows.join(totals.where(wanted).drop("_rows"), [*keys, "_bucket"])
+    inside = W.partitionBy(*keys, "_bucket").orderBy(value)
+    hits = hits.withColumn("_at", F.col("_before") + F.row_number().over(inside))
+    out = []
+    for name, (rank, low_at, high_at) in ranks.items():
+        low = F.max(F.when(F.col("_at") == low_at, F.col(value)))
+        high = F.max(F.when(F.col("_at") == high_at, F.col(value)))
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    return hits.groupBy(*keys).agg(*out)
