@@ -314,22 +314,27 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     return df.join(ranks.select(*keys, value, name), [*keys, value])
 
 
+def column_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Medians of several columns in one pass over their values: one row per key with a map column -> median."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = df.select(*keys, pairs.alias("_p")).select(*keys, F.col("_p.c").alias("_column"), F.col("_p.v").alias("_value"))
+    medians = exact_quantiles(long, [*keys, "_column"], "_value", {"_median": 0.5})
+    per_column = [F.max(F.when(F.col("_column") == c, F.col("_median"))).alias(c) for c in columns]
+    return medians.groupBy(*keys).agg(F.struct(*per_column).alias("_medians"))
+
+
 def impute_surface_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill a rookie's missing values with the surface's median."""
-    out = df
-    for c in columns:
-        med = exact_quantiles(df, ["surface"], c, {"_median": 0.5})
-        out = out.join(med, "surface", "left")
-        out = out.withColumn(c, F.when(F.col("is_rookie"), F.coalesce(c, "_median")).otherwise(F.col(c))).drop("_median")
-    return out
+    out = df.join(column_medians(df, ["surface"], columns), "surface", "left")
+    fill = {c: F.when(F.col("is_rookie"), F.coalesce(c, f"_medians.{c}")).otherwise(F.col(c)) for c in columns}
+    return out.withColumns(fill).drop("_medians")
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill what is still missing with the column's median over all rows."""
-    out = df
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(c, exact_quantiles(df, [], c, {"_median": 0.5}).scalar()))
-    return out
+    medians = column_medians(df, [], columns).scalar()
+    out = df.withColumn("_medians", medians)
+    return out.withColumns({c: F.coalesce(c, f"_medians.{c}") for c in columns}).drop("_medians")
 
 
 def asof_previous_stage(stages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from splitclock.operators import facts, history
 from splitclock.operators.aggregates import geometry_profile
 from splitclock.operators.lookups import attach_profiles, results_inner_geometry, results_left_geometry
 from splitclock.operators.series import group_stats
+from splitclock.session import cut
 
 STAGE_FEATURES = [
     "distance_km", "hairpin_count", "hairpin_density", "turn_count", "turn_density", "total_ascent", "total_descent",
@@ -97,7 +98,8 @@ def v1_feature_matrix(df: DataFrame, classes: Sequence[str], lookback: int = 15,
     rows = df.where(~F.col("is_anomaly")) if exclude_anomalies and "is_anomaly" in df.columns else df
     rated = facts.ratio_to_class_best(rows, ("rally_id", "stage_id", "car_class"))
     out = class_features(stage_features(rated), classes)
-    out = competition_features(rally_context(history.history_features(out, lookback)))
+    # The medians read every row of the matrix: write it once rather than run the history windows again for each.
+    out = cut(competition_features(rally_context(history.history_features(out, lookback))))
     out = history.impute_surface_median(out, V1_IMPUTED[:2])
     return history.impute_median(out, V1_IMPUTED)
 
