@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitclock.catalog import history, predictions, records, routes, scalars, tables  # noqa: F401
+from splitclock.catalog import external, history, predictions, records, routes, scalars, tables  # noqa: F401
 from splitclock.catalog.registry import ORACLES, QUERIES
 
 

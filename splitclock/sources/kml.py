@@ -99,14 +99,18 @@ def kml_points(files: DataFrame) -> DataFrame:
     return rows.withColumn("route_id", F.concat("path", F.lit("#"), "placemark"))
 
 
-def read_route_files(spark: SparkSession, folder: str) -> DataFrame:
+ROUTE_FILES = r"\.(kml|kmz)$"
+
+
+def read_route_files(spark: SparkSession, folder: str, pattern: str = ROUTE_FILES) -> DataFrame:
     """Route files of a folder with path and content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(kml|kmz)$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.lower("path").rlike(pattern))
 
 
-def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+def file_inventory(spark: SparkSession, folder: str, pattern: str = ROUTE_FILES) -> DataFrame:
     """Name, size and date of every route file; the contents are not read."""
-    files = read_route_files(spark, folder)
+    files = read_route_files(spark, folder, pattern)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.round(F.col("length") / 1024, 1).alias("size_kb"), F.to_date("modificationTime").alias("modified")
     )
