@@ -66,12 +66,12 @@ def read_batch_request(spark, d):
     "import_manual_sheet",
     with_ctes(
         fx.RAW,
-        """SELECT concat(replace(lower(rally_name), ' ', '_'), '_ss', stage_number, '_', replace(lower(trim(driver_name)), ' ', '_')) AS result_id, round(time_seconds, 6) AS time_seconds, CAST(ev // 100 AS INTEGER) AS rally_year FROM raw WHERE len(split_part(coalesce(time_str, ''), ':', 1)) <= 2 OR time_str = 'DNF'""",
+        """SELECT concat(replace(lower(rally_name), ' ', '_'), '_ss', stage_number, '_', replace(lower(trim(driver_name)), ' ', '_')) AS result_id, round(CASE WHEN time_str <> 'DNF' THEN CAST(split_part(time_str, ':', 1) AS DOUBLE) * 60 + CAST(split_part(time_str, ':', 2) AS DOUBLE) END, 6) AS time_seconds, CAST(ev // 100 AS INTEGER) AS rally_year FROM raw""",
     ),
 )
 def import_manual_sheet(spark, d):
     raw = fx.raw_results(spark, d)
-    sheet = raw.where((F.length(F.split("time_str", ":")[0]) <= 2) | (F.col("time_str") == "DNF")).select(
+    sheet = raw.select(
         "rally_name", F.col("rally_date").cast("string").alias("rally_date"), F.concat(F.lit("SS"), "stage_number").alias("stage_name"), "stage_number", "stage_length_km", "surface", F.lit("day").alias("day_or_night"),
         F.trim("driver_name").alias("driver_name"), F.col("vehicle").alias("car_model"), "car_class", "time_str", "status", F.lit(1).alias("overall_position"), F.lit(1).alias("class_position"),
     )

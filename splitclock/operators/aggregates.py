@@ -18,6 +18,11 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Correlation of two columns; NULL when one of them is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def surface_profile(df: DataFrame) -> DataFrame:
     """Mean ratio and stage count per (driver, surface) with the driver's overall figures beside them, and the
     adjustment surface mean / overall mean. Overall includes rows without a surface."""
@@ -195,15 +200,15 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, low: float |
     err = F.col("y") - F.col("p")
     n = _count()
     out = ranked.agg(
-        n.alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(F.abs(err / F.col("y"))).alias("mape"), F.sqrt(F.avg(err * err)).alias("rmse"),
+        n.alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(F.abs(F.try_divide(err, F.col("y")))).alias("mape"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (1 - F.try_divide(F.avg(err * err), F.var_pop("y"))).alias("r2"), F.avg("y").alias("mean_target"), F.stddev_samp("y").alias("std_target"),
-        F.corr("ry", "rp").alias("spearman"),
+        _corr("ry", "rp").alias("spearman"),
     )
     return out
 
 
 def metrics_by_class(df: DataFrame, actual: str, predicted: str, key: str = "car_class", least: int = 5) -> DataFrame:
-    mape = F.avg(F.abs((F.col(actual) - F.col(predicted)) / F.col(actual))) * 100
+    mape = F.avg(F.abs(F.try_divide(F.col(actual) - F.col(predicted), F.col(actual)))) * 100
     return df.groupBy(key).agg(_count().alias("n_samples"), mape.alias("mape")).where(F.col("n_samples") >= least)
 
 
@@ -211,7 +216,7 @@ def rank_agreement(df: DataFrame, actual: str, predicted: str, key: str = "stage
     """Mean rank correlation over groups of at least ``least`` rows, and the share above 0.9."""
     rows = df.select(key, F.col(actual).alias("y"), F.col(predicted).alias("p"))
     ranked = average_rank(average_rank(rows, [key], "y", "ry"), [key], "p", "rp")
-    per = ranked.groupBy(key).agg(_count().alias("_n"), F.corr("ry", "rp").alias("_r")).where(F.col("_n") >= least)
+    per = ranked.groupBy(key).agg(_count().alias("_n"), _corr("ry", "rp").alias("_r")).where(F.col("_n") >= least)
     return per.agg(_count().alias("groups"), F.avg("_r").alias("mean_spearman"), F.avg((F.col("_r") > 0.9).cast("double")).alias("share_above_0_9"))
 
 
