@@ -14,6 +14,7 @@ from splitclock.functions.text import build_driver_id, build_stage_id, clean_tex
 from splitclock.operators.facts import class_position
 from splitclock.operators.series import group_stats
 from splitclock.schemas import STAGE_RESULTS, align
+from splitclock.session import cut
 
 # The fields whose difference makes an incoming row a conflict.
 COMPARE_FIELDS = [
@@ -101,13 +102,15 @@ def classify_incoming(master: DataFrame, incoming: DataFrame, order: str) -> Dat
 
     The first row of an id within the batch (by ``order``) counts as known: a later equal row is a duplicate and is
     dropped; a later different row is compared with the master row, or with that first row where the master has none.
-    First rows are found by a map-side combined minimum, so an id that fills a third of the batch is no one task's work.
+    First rows are found by a map-side combined minimum and joined to the repeated ids only; an id that fills a third of
+    the batch is a skewed join, which adaptive execution splits, and no one task's work.
     """
     fields = [c for c in incoming.columns if c != order]
-    first = incoming.groupBy("result_id").agg(F.min_by(F.struct(*fields), order).alias("f"), F.min(order).alias("_first"))
+    places = incoming.groupBy("result_id").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_sent"))
+    i = incoming.select("result_id", F.col(order).alias("_seq"), F.struct(*fields).alias("i")).join(places, "result_id")
+    first = i.where((F.col("_sent") > 1) & (F.col("_seq") == F.col("_first"))).select("result_id", F.col("i").alias("f"))
     known = master.select("result_id", F.struct(*[c for c in fields if c in master.columns]).alias("m"))
-    i = incoming.select("result_id", F.col(order).alias("_seq"), F.struct(*fields).alias("i"))
-    j = i.join(first.join(known, "result_id", "left"), "result_id")
+    j = i.join(first, "result_id", "left").join(known, "result_id", "left")
     is_first = F.col("_seq") == F.col("_first")
     new = F.col("m").isNull()
     label = (
@@ -123,10 +126,12 @@ def merge_results(master: DataFrame, incoming: DataFrame, run_id: str, order: st
     """Insert new ids, skip equal rows, keep the master and report a conflict for different ones.
 
     ``incoming`` carries its arrival order in ``order``. With ``recompute`` class, ids, ratio and position of the
-    whole table are derived anew.
+    whole table are derived anew. Store ``merged`` as a new version (``sources.tables.replace_table``) before building
+    dimensions from it; each of them reads it several times.
     """
     canonical = canonicalize_results(incoming, run_id, extra=(order,))
-    labelled = classify_incoming(master, canonical, order)
+    # Inserted rows, conflicts and counts all read the labelled batch: write it once.
+    labelled = cut(classify_incoming(master, cut(canonical), order))
     inserted = labelled.where("outcome = 'insert'").select("i.*")
     merged = master.unionByName(inserted, allowMissingColumns=True)
     if recompute:
