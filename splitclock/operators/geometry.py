@@ -188,14 +188,15 @@ def merge_geometry(
     rounds is the largest number of different successive versions of one stage.
     """
     kept = (order,) if order else ()
-    canonical = canonicalize_geometry(incoming, source_label, stages, rallies, now, extra=kept)
+    # Steps, counts and conflicts read the batch and its outcomes several times: write both once.
+    canonical = cut(canonicalize_geometry(incoming, source_label, stages, rallies, now, extra=kept))
     keyed = canonical.where(F.col("stage_id").isNotNull())
     base = _complete(master).select(*[F.col(f.name).cast(f.dataType) for f in STAGE_GEOMETRY.fields])
     if replace_existing:
         base = base.where(F.lit(False))
     repeats = None
     if order is None:
-        steps = merge_step(base, keyed, now)
+        steps = cut(merge_step(base, keyed, now))
         merged = merge_upsert(base, steps.select("result.*"), ["stage_id"])
     else:
         names = [f.name for f in STAGE_GEOMETRY.fields]
