@@ -42,18 +42,18 @@ def _stage_order(block: Sequence[str]) -> list[str]:
     return [*block, "stage_number", "result_id"]
 
 
-def positioned(df: DataFrame, keys: Sequence[str] = DRIVER, block: Sequence[str] = RALLY_ORDER, name: str = "position", aggs=None) -> DataFrame:
-    return with_position(df, keys, _stage_order(block), block, name, aggs)
+def positioned(df: DataFrame, keys: Sequence[str] = DRIVER, block: Sequence[str] = RALLY_ORDER, name: str = "position", aggs=None, base: DataFrame | None = None) -> DataFrame:
+    return with_position(df, keys, _stage_order(block), block, name, aggs, base)
 
 
-def history_overall(df: DataFrame, lookback: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK) -> DataFrame:
+def history_overall(df: DataFrame, lookback: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK, base: DataFrame | None = None) -> DataFrame:
     """Rookie flag, stages so far, best so far, mean and sample deviation of the last ``lookback`` earlier rows, and
     momentum (mean of the five before the last five, minus the last five; 0 under ten rows)."""
     r = F.col("ratio_to_class_best")
-    base = positioned(df, block=block, aggs={"min_before": F.min(r)})
+    placed = positioned(df, block=block, aggs={"min_before": F.min(r)}, base=base)
     in_rally = W.partitionBy("driver_id", *block).orderBy(*_stage_order(block)).rowsBetween(W.unboundedPreceding, -1)
     best = F.least(F.col("min_before"), F.min(r).over(in_rally))
-    chunked = in_chunks(base.withColumn("driver_best_ratio_season", best).drop("min_before"), DRIVER, "position", before=lookback, size=size)
+    chunked = in_chunks(placed.withColumn("driver_best_ratio_season", best).drop("min_before"), DRIVER, "position", before=lookback, size=size)
     w = chunk_window(DRIVER, "position")
     done = F.col("position") - 1
     trend = F.avg(r).over(w.rowsBetween(-10, -6)) - F.avg(r).over(w.rowsBetween(-5, -1))
@@ -70,10 +70,10 @@ def history_overall(df: DataFrame, lookback: int = 15, block: Sequence[str] = RA
     ).drop("position")
 
 
-def history_surface(df: DataFrame, lookback: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK) -> DataFrame:
+def history_surface(df: DataFrame, lookback: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK, base: DataFrame | None = None) -> DataFrame:
     """Mean of the last ``lookback`` earlier rows on the same surface (NULL when there is none)."""
     keys = ("driver_id", "surface")
-    chunked = in_chunks(positioned(df, keys, block), keys, "position", before=lookback, size=size)
+    chunked = in_chunks(positioned(df, keys, block, base=base), keys, "position", before=lookback, size=size)
     w = chunk_window(keys, "position").rowsBetween(-lookback, -1)
     return core(chunked.withColumn("driver_mean_ratio_surface", F.avg("ratio_to_class_best").over(w))).drop("position")
 
@@ -90,19 +90,22 @@ def history_rally(df: DataFrame, block: Sequence[str] = RALLY_ORDER) -> DataFram
     )
 
 
-def history_short_stage(df: DataFrame, short_km: float = 7.0, last: int = 10, least: int = 3, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK) -> DataFrame:
+def history_short_stage(
+    df: DataFrame, short_km: float = 7.0, last: int = 10, least: int = 3, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK, base: DataFrame | None = None
+) -> DataFrame:
     """Mean of the last ten earlier short stages (NULL under three).
 
     The short rows form their own series with its trailing mean; every row looks up the entry of its count of
     earlier short rows, so no list of earlier values is ever built.
     """
-    short = F.col("stage_length_km") < short_km
-    flagged = df.withColumn("_short", F.coalesce(short, F.lit(False)).cast("int"))
-    counted = positioned(flagged, block=block, aggs={"_short_before": F.sum("_short")})
+    short = F.coalesce(F.col("stage_length_km") < short_km, F.lit(False)).cast("int")
+    flagged = df.withColumn("_short", short)
+    source = flagged if base is None else base.withColumn("_short", short)
+    counted = positioned(flagged, block=block, aggs={"_short_before": F.sum("_short")}, base=source)
     in_rally = W.partitionBy("driver_id", *block).orderBy(*_stage_order(block)).rowsBetween(W.unboundedPreceding, -1)
     earlier = F.coalesce(F.col("_short_before"), F.lit(0)) + F.coalesce(F.sum("_short").over(in_rally), F.lit(0))
     counted = counted.withColumn("_k", earlier.cast("bigint")).drop("_short_before", "position")
-    own = positioned(flagged.where("_short = 1"), block=block, name="_k")
+    own = positioned(source.where("_short = 1"), block=block, name="_k")
     chunked = in_chunks(own, DRIVER, "_k", before=last - 1, size=size)
     trailing = F.avg("ratio_to_class_best").over(chunk_window(DRIVER, "_k").rowsBetween(-(last - 1), 0))
     lookup = core(chunked.withColumn("driver_short_stage_ratio", trailing)).where(F.col("_k") >= least).select("driver_id", "_k", "driver_short_stage_ratio")
@@ -111,7 +114,8 @@ def history_short_stage(df: DataFrame, short_km: float = 7.0, last: int = 10, le
 
 def history_features(df: DataFrame, lookback: int = 15, block: Sequence[str] = RALLY_ORDER) -> DataFrame:
     """All driver history columns of the feature matrix, with their fallbacks to the overall mean."""
-    out = history_short_stage(history_surface(history_overall(history_rally(df, block), lookback, block), lookback, block), block=block)
+    out = history_overall(history_rally(df, block), lookback, block, base=df)
+    out = history_short_stage(history_surface(out, lookback, block, base=df), block=block, base=df)
     overall = F.col("driver_mean_ratio_overall")
     return out.withColumns(
         {
@@ -121,30 +125,31 @@ def history_features(df: DataFrame, lookback: int = 15, block: Sequence[str] = R
     )
 
 
-def expanding_baseline(df: DataFrame, block: Sequence[str] = ("rally_id",)) -> DataFrame:
+def expanding_baseline(df: DataFrame, block: Sequence[str] = ("rally_id",), base: DataFrame | None = None) -> DataFrame:
     """Mean of all previous ratios; the driver's overall mean on the first row."""
     r = F.col("ratio_to_class_best")
-    base = positioned(df, block=block, aggs={"_sum_before": F.sum(r)})
+    source = df if base is None else base
+    out = positioned(df, block=block, aggs={"_sum_before": F.sum(r)}, base=source)
     in_rally = W.partitionBy("driver_id", *block).orderBy(*_stage_order(block)).rowsBetween(W.unboundedPreceding, -1)
     earlier = F.coalesce(F.col("_sum_before"), F.lit(0.0)) + F.coalesce(F.sum(r).over(in_rally), F.lit(0.0))
-    base = group_stats(base.withColumn("_earlier", earlier), DRIVER, {"_mean": F.avg(r)})
+    out = group_stats(out.withColumn("_earlier", earlier), DRIVER, {"_mean": F.avg(r)}, base=source)
     value = F.when(F.col("position") > 1, F.col("_earlier") / (F.col("position") - 1)).otherwise(F.col("_mean"))
-    return base.withColumn("baseline_ratio", value).drop("_sum_before", "_earlier", "_mean", "position")
+    return out.withColumn("baseline_ratio", value).drop("_sum_before", "_earlier", "_mean", "position")
 
 
-def rolling_baseline(df: DataFrame, window: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK) -> DataFrame:
+def rolling_baseline(df: DataFrame, window: int = 15, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK, base: DataFrame | None = None) -> DataFrame:
     """Mean of the previous ``window`` ratios; the mean over all rows where there is no previous row."""
-    chunked = in_chunks(positioned(df, block=block), DRIVER, "position", before=window, size=size)
+    chunked = in_chunks(positioned(df, block=block, base=base), DRIVER, "position", before=window, size=size)
     w = chunk_window(DRIVER, "position").rowsBetween(-window, -1)
     rolled = core(chunked.withColumn("_rolled", F.avg("ratio_to_class_best").over(w)))
-    overall = df.agg(F.avg("ratio_to_class_best")).scalar()
+    overall = (df if base is None else base).agg(F.avg("ratio_to_class_best")).scalar()
     return rolled.withColumn("baseline_ratio", F.coalesce("_rolled", overall)).drop("_rolled", "position")
 
 
-def rolling_momentum(df: DataFrame, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK) -> DataFrame:
+def rolling_momentum(df: DataFrame, block: Sequence[str] = RALLY_ORDER, size: int = CHUNK, base: DataFrame | None = None) -> DataFrame:
     """Mean of the last three rows including this one, over the mean of the six rows ending three back; plus the
     running stage count."""
-    chunked = in_chunks(positioned(df, block=block, name="driver_stage_count"), DRIVER, "driver_stage_count", before=8, size=size)
+    chunked = in_chunks(positioned(df, block=block, name="driver_stage_count", base=base), DRIVER, "driver_stage_count", before=8, size=size)
     w = chunk_window(DRIVER, "driver_stage_count")
     recent = F.avg("ratio_to_class_best").over(w.rowsBetween(-2, 0))
     older = F.avg("ratio_to_class_best").over(w.rowsBetween(-8, -3))

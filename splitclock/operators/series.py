@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], where: Column | None = None) -> DataFrame:
-    """Add group statistics to every row; ``where`` limits the rows that count, not the rows that stay."""
-    source = df.where(where) if where is not None else df
+def group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], where: Column | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Add group statistics to every row; ``where`` limits the rows that count, not the rows that stay. ``base`` holds
+    the same rows before columns were added, to aggregate from."""
+    source = base if base is not None else df
+    source = source.where(where) if where is not None else source
     stats = source.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return df.join(stats, list(keys), "left" if where is not None else "inner")
 
@@ -52,13 +54,16 @@ def with_position(
     block: Sequence[str],
     name: str = "position",
     aggs: Mapping[str, Column] | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based row number of each row inside ``keys`` along ``order``.
 
+    ``base`` holds the same rows before columns were added; offsets are counted there, so that a chain of such steps
+    reads its growing input once per step and not twice.
     ``aggs`` adds totals over all earlier blocks (names starting ``min_``/``max_`` combine by minimum/maximum).
     """
     inside = W.partitionBy(*keys, *block).orderBy(*order)
-    offsets = block_offsets(df, keys, block, aggs)
+    offsets = block_offsets(df if base is None else base, keys, block, aggs)
     numbered = df.withColumn("_inside", F.row_number().over(inside))
     joined = numbered.join(offsets, [*keys, *block])
     return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_before", "_inside")

@@ -156,11 +156,11 @@ def training_set_trainer(results: DataFrame, geometry: DataFrame, leak_free: boo
     rated = facts.ratio_band(rated, "ratio_to_class_best", 0.5, 2.0)
     if leak_free:
         featured = history.expanding_baseline(rated, history.RALLY_ORDER).withColumnRenamed("baseline_ratio", "driver_avg_ratio")
-        featured = history.history_surface(featured).withColumnRenamed("driver_mean_ratio_surface", "driver_surface_ratio")
+        featured = history.history_surface(featured, base=rated).withColumnRenamed("driver_mean_ratio_surface", "driver_surface_ratio")
         featured = featured.withColumn("driver_surface_ratio", F.coalesce("driver_surface_ratio", "driver_avg_ratio"))
     else:
         featured = history.driver_means(rated)
-    featured = history.rolling_baseline(history.rolling_momentum(featured))
+    featured = history.rolling_baseline(history.rolling_momentum(featured, base=rated), base=rated)
     featured = featured.withColumn("correction_factor", F.col("ratio_to_class_best") / F.col("baseline_ratio"))
     return facts.ratio_band(featured, "correction_factor", 0.8, 1.2)
 
