@@ -51,8 +51,8 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     step = docs.select(
         *keep,
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _BLANK, -1)).alias("_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
     )
     step = step.select(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from splitclock.llm.quality import quality_query
 from splitclock.llm.simhash import simhash_query
 
 QUERIES = {
+    "op6_quality": quality_query,
     "op8_simhash": simhash_query,
 }
 
