@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from splitclock.llm.quality import quality_query
 from splitclock.llm.simhash import simhash_query
+from splitclock.llm.suffix import suffix_query
 
 QUERIES = {
+    "op4_suffix": suffix_query,
     "op6_quality": quality_query,
     "op8_simhash": simhash_query,
 }
