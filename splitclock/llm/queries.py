@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from splitclock.llm.pii import pii_query
 from splitclock.llm.quality import quality_query
 from splitclock.llm.simhash import simhash_query
 from splitclock.llm.suffix import suffix_query
@@ -9,6 +10,7 @@ from splitclock.llm.suffix import suffix_query
 QUERIES = {
     "op4_suffix": suffix_query,
     "op6_quality": quality_query,
+    "op10_pii": pii_query,
     "op8_simhash": simhash_query,
 }
 
