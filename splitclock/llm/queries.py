@@ -6,12 +6,14 @@ from splitclock.llm.bpe import bpe_query
 from splitclock.llm.packing import packing_query
 from splitclock.llm.pii import pii_query
 from splitclock.llm.quality import quality_query
+from splitclock.llm.sharding import sharding_query
 from splitclock.llm.simhash import simhash_query
 from splitclock.llm.suffix import suffix_query
 
 QUERIES = {
     "op3_bpe": bpe_query,
     "op4_suffix": suffix_query,
+    "op5_sharding": sharding_query,
     "op6_quality": quality_query,
     "op10_pii": pii_query,
     "op7_packing": packing_query,
