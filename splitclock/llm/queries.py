@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from splitclock.llm.bpe import bpe_query
+from splitclock.llm.langid import language_query
 from splitclock.llm.packing import packing_query
 from splitclock.llm.pii import pii_query
 from splitclock.llm.quality import quality_query
@@ -11,6 +12,7 @@ from splitclock.llm.simhash import simhash_query
 from splitclock.llm.suffix import suffix_query
 
 QUERIES = {
+    "op2_language": language_query,
     "op3_bpe": bpe_query,
     "op4_suffix": suffix_query,
     "op5_sharding": sharding_query,
