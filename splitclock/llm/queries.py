@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from splitclock.llm.bpe import bpe_query
+from splitclock.llm.embed import ORACLE as EMBEDDING_SQL
+from splitclock.llm.embed import embedding_query
+from splitclock.llm.html_main import html_query
 from splitclock.llm.langid import language_query
 from splitclock.llm.packing import packing_query
 from splitclock.llm.pii import pii_query
@@ -12,14 +15,16 @@ from splitclock.llm.simhash import simhash_query
 from splitclock.llm.suffix import suffix_query
 
 QUERIES = {
+    "op1_embedding": embedding_query,
     "op2_language": language_query,
     "op3_bpe": bpe_query,
     "op4_suffix": suffix_query,
     "op5_sharding": sharding_query,
     "op6_quality": quality_query,
+    "op9_html": html_query,
     "op10_pii": pii_query,
     "op7_packing": packing_query,
     "op8_simhash": simhash_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding": EMBEDDING_SQL.strip()}
