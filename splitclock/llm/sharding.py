@@ -193,8 +193,12 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: in
     """Write ``docs`` to ``path`` as one folder per new shard, with old, size, key, part and slot; returns the plan.
 
     A shard is a number of files of about ``file_bytes``; a document's file follows from its key. Shards that neither gain
-    nor lose documents are not written: their old files stay what they are.
+    nor lose documents are not written: their old files stay what they are. Columns of ``docs`` with the names of added
+    ones are written as ``<name>_doc``.
     """
+    added = ("old", "size", "key", "part", "slot", "shard", "inside", "before")
+    docs = docs.withColumn("_old", old).withColumnsRenamed({c: f"{c}_doc" for c in added})
+    old = F.col("_old")
     meta = written(placed(docs, old).select("old", "size", "key"), "sizes")
     found = plan(meta, shards)
     given = meta.withColumn("shard", found.shard())
@@ -209,7 +213,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: in
     rows = rows.where(F.col("shard").isin(affected)) if len(affected) < len(totals) else rows
     rows = rows.repartition("shard", "part").withColumn("inside", F.row_number().over(W.partitionBy("shard", "part").orderBy("key", "doc_id")))
     rows = rows.join(F.broadcast(counts), ["shard", "part"]) if files * shards <= 1 << 16 else rows.join(counts, ["shard", "part"])
-    rows.withColumn("slot", (F.col("before") + F.col("inside") - 1).cast("bigint")).drop("before", "inside").write.partitionBy("shard").parquet(path)
+    rows.withColumn("slot", (F.col("before") + F.col("inside") - 1).cast("bigint")).drop("before", "inside", "_old").write.partitionBy("shard").parquet(path)
     return found
 
 
