@@ -12,7 +12,7 @@ from splitclock.operators import facts, history
 from splitclock.operators.aggregates import importance_mean_abs as mean_abs
 from splitclock.operators.aggregates import temporal_split
 from splitclock.plans import features, ml
-from splitclock.session import scratch_path
+from splitclock.session import scratch_path, stored
 from splitclock.sources import html, kml, tables
 from splitclock.streaming import live
 
@@ -57,9 +57,10 @@ def read_batch_request(spark, d):
     driver = F.struct(F.col("driver_id").cast("string").alias("driver_id"), F.lit("n").alias("driver_name"), F.col("car_class").alias("normalized_class"), F.col("surface"))
     # One document asks for at most a few drivers of a stage.
     docs = t.groupBy("rally_id", "stage_id", "stage_number", F.floor(F.col("driver_id") / 20).alias("part")).agg(F.collect_list(driver).alias("drivers")).drop("part")
-    docs.write.json(path)
-    lines = spark.read.schema(tables.BATCH_REQUEST).json(path).withColumn("d", F.explode("drivers"))
-    return lines.select("stage_id", "d.driver_id", "d.normalized_class")
+    # One file per rally, an array of documents over many lines.
+    files = docs.groupBy(F.col("rally_id").alias("file")).agg(F.to_json(F.collect_list(F.struct(*docs.columns)), {"pretty": "true"}).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return tables.read_batch_request(spark, path).select("stage_id", "driver_id", "normalized_class")
 
 
 @query(
@@ -254,7 +255,7 @@ def correction_model(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _trained:
         rows = features.training_set_trainer(classed(spark, d), fx.stage_geometry(spark, d)).withColumn("elevation_gain", F.lit(0.0))
-        _trained[key] = ml.train_correction_model(rows, MODEL_FEATURES, iterations=20, depth=5)
+        _trained[key] = ml.train_correction_model(rows, MODEL_FEATURES)
     return _trained[key]
 
 
@@ -282,7 +283,7 @@ def top_importance(spark, d):
 @query("permutation_importance")
 def permutation_importance(spark, d):
     model, _, held = correction_model(spark, d)
-    return ml.permutation_importance(model, held.drop("prediction"), MODEL_FEATURES, "correction_factor", repeats=2)
+    return ml.permutation_importance(model, held.drop("prediction"), MODEL_FEATURES, "correction_factor")
 
 
 @query("attribution")
@@ -317,20 +318,20 @@ def train_ratio_model(spark, d):
     names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     matrix = temporal_split(features.v1_feature_matrix(fx.timed_results(spark, d).drop("ev"), names))
     chosen = features.numeric_feature_select(matrix)
-    return ml.train_ratio_model(matrix, chosen, iterations=10, depth=4)[1]
+    return ml.train_ratio_model(matrix, chosen)[1]
 
 
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 
-def feed(spark, d, twice=False):
+def feed(spark, d, twice=False, files_per_trigger=None):
     """Results written as one file set per stage number, in that order, and read back as a stream."""
     path = scratch_path(spark, "feed")
     t = fx.timed_results(spark, d).select("result_id", "rally_id", "stage_id", "stage_number", "driver_id", "car_class", "surface", "stage_length_km", "time_seconds", F.col("rally_date").cast("timestamp").alias("sent_at"))
     t.repartition(4, "stage_number").write.parquet(path)
     if twice:
         t.write.mode("append").parquet(path)
-    return live.stream_results(spark, path, t.schema, "parquet"), t.schema
+    return live.stream_results(spark, path, t.schema, "parquet", files_per_trigger), t.schema
 
 
 def _drain(spark, rows, mode):
@@ -357,8 +358,11 @@ def stream_results(spark, d):
 
 @query("stream_dedup", with_ctes(fx.TIMED, "SELECT result_id FROM timed"))
 def stream_dedup(spark, d):
-    rows, _ = feed(spark, d, twice=True)
-    return _drain(spark, live.stream_dedup(rows, "sent_at"), "append").select("result_id")
+    # Every result is sent twice, in micro-batches of three files that come in no order of time.
+    rows, _ = feed(spark, d, twice=True, files_per_trigger=3)
+    path = scratch_path(spark, "first")
+    live.stream_dedup(rows, f"{path}/rows", f"{path}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows").select("result_id")
 
 
 @query("stream_class_best", with_ctes(fx.TIMED, "SELECT stage_id, car_class, min(time_seconds) AS class_best_time, count(*) AS finisher_count FROM timed GROUP BY 1, 2"))
@@ -390,9 +394,10 @@ def stream_momentum(spark, d):
 def stream_compare_predict(spark, d):
     path = scratch_path(spark, "loop")
     t = fx.timed_results(spark, d).select("result_id", "rally_id", "stage_id", "stage_number", "driver_id", "car_class", "surface", "stage_length_km", "time_seconds")
-    # Three stages arrive one after the other, each as one micro-batch.
-    for n in (1, 2, 3):
-        t.where(F.col("stage_number") == n).coalesce(1).write.mode("append").parquet(f"{path}/feed")
-    rows = live.stream_results(spark, f"{path}/feed", t.schema, "parquet", files_per_trigger=1)
-    live.stream_compare_predict(rows, live_requests(spark, d), facts.ratio_to_class_best(classed(spark, d).drop("ratio_to_class_best", "class_best_time")), path, f"{path}/state").awaitTermination()
+    asked, before = stored(live_requests(spark, d)), stored(facts.ratio_to_class_best(classed(spark, d).drop("ratio_to_class_best", "class_best_time")))
+    # The stages arrive one after the other; the query runs after each arrival and goes on from its checkpoint.
+    for n in range(1, 11):
+        t.where(F.col("stage_number") == n).write.mode("append").parquet(f"{path}/feed")
+        rows = live.stream_results(spark, f"{path}/feed", t.schema, "parquet")
+        live.stream_compare_predict(rows, asked, before, path, f"{path}/state").awaitTermination()
     return live.newest_version(spark, path).groupBy("comparison_status").agg(F.count(F.lit(1)).alias("predictions"))

@@ -107,9 +107,9 @@ def is_rookie(spark, d):
     return history.history_overall(fx.rated_results(spark, d)).where("is_rookie").select("driver_id", "result_id")
 
 
-@query("history_momentum", with_ctes(fx.RATED, f"SELECT result_id, driver_momentum FROM (SELECT result_id, {OVERALL_SQL} FROM rated) WHERE driver_momentum <> 0"))
+@query("history_momentum", with_ctes(fx.RATED, f"SELECT result_id, driver_momentum FROM (SELECT result_id, {OVERALL_SQL} FROM rated)"))
 def history_momentum(spark, d):
-    return rounded(history.history_overall(fx.rated_results(spark, d)).select("result_id", "driver_momentum")).where("driver_momentum <> 0")
+    return rounded(history.history_overall(fx.rated_results(spark, d)).select("result_id", "driver_momentum"))
 
 
 @query(

@@ -92,9 +92,9 @@ def predict_notional(spark, d):
     return rounded(out.select("result_id", "predicted_ratio", "predicted_time", "confidence_score", "confidence_level"), predicted_time=4)
 
 
-@query("predict_batch", with_ctes(NOTIONAL, "SELECT result_id, round(ratio * class_best_time, 4) AS predicted_time FROM scored WHERE stage_number = 6"))
+@query("predict_batch", with_ctes(NOTIONAL, "SELECT result_id, round(ratio * class_best_time, 4) AS predicted_time FROM scored"))
 def predict_batch(spark, d):
-    asked = requests(spark, d).where("stage_number = 6").unionByName(requests(spark, d).where("stage_number = 6").withColumn("normalized_class", F.lit("no such class")))
+    asked = requests(spark, d).unionByName(requests(spark, d).withColumn("normalized_class", F.lit("no such class")))
     return rounded(predict.predict_batch(asked, classed(spark, d), fx.stage_geometry(spark, d)).select("result_id", "predicted_time"), 4)
 
 
@@ -227,15 +227,15 @@ def confidence_manual(spark, d):
     "red_flag_predict",
     with_ctes(
         fx.RATED + ", ask AS (SELECT DISTINCT car_class, surface, stage_length_km FROM timed), pace AS MATERIALIZED (" + PACE + """),
-done AS (SELECT stage_id, car_class, min(time_seconds) AS best, count(*) AS n FROM timed WHERE stage_number = 4 AND driver_id % 3 = 0 GROUP BY 1, 2),
+done AS (SELECT stage_id, car_class, min(time_seconds) AS best, count(*) AS n FROM timed WHERE driver_id % 3 = 0 GROUP BY 1, 2),
 rf AS (SELECT t.driver_id, t.stage_id, t.surface, t.stage_length_km, greatest(1.0, least(0.9 + (t.driver_id % 60) / 100.0, 1.35)) AS ratio, coalesce(best, p.reference_time) AS ref, coalesce(n, 0) AS n FROM timed t LEFT JOIN done d ON d.stage_id = t.stage_id AND d.car_class = t.car_class
-  JOIN pace p ON p.car_class = t.car_class AND p.surface = t.surface AND p.stage_length_km = t.stage_length_km WHERE t.stage_number = 4 AND t.driver_id % 3 <> 0)""",
+  JOIN pace p ON p.car_class = t.car_class AND p.surface = t.surface AND p.stage_length_km = t.stage_length_km WHERE t.driver_id % 3 <> 0)""",
         """SELECT driver_id, stage_id, round(ratio, 6) AS predicted_ratio, round(least(greatest(ratio * ref, ref), ref * 1.35, stage_length_km / CASE surface WHEN 'gravel' THEN 40.0 ELSE 50.0 END * 3600), 4) AS notional_time, CASE WHEN n >= 3 THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS confidence FROM rf""",
     ),
 )
 def red_flag_predict(spark, d):
     t = fx.timed_results(spark, d)
-    stopped = t.where("stage_number = 4")
+    stopped = t
     i = F.col("driver_id")
     waiting = stopped.where(i % 3 != 0).select("driver_id", "stage_id", "car_class", "stage_length_km", "surface")
     ratios = waiting.select("driver_id", "stage_id", (0.9 + i % 60 / F.lit(100.0)).alias("predicted_ratio"))

@@ -251,13 +251,13 @@ def near_duplicate(spark, d):
     "overlay_geometry",
     with_ctes(
         fx.GEOMETRY,
-        """SELECT stage_id, CASE stage_number WHEN 2 THEN distance_km + 0.04 ELSE distance_km END AS distance_km, CASE WHEN stage_number = 2 THEN concat('new_', source_kml) ELSE source_kml END AS source_kml, hairpin_count FROM geometry WHERE stage_number <> 3""",
+        """SELECT stage_id, CASE stage_number WHEN 2 THEN distance_km + 0.04 ELSE distance_km END AS distance_km, CASE WHEN stage_number = 2 THEN concat('new_', source_kml) ELSE source_kml END AS source_kml, hairpin_count FROM geometry""",
     ),
 )
 def overlay_geometry(spark, d):
     master, batch = geometry_pair(spark, d)
-    out = gm.merge_geometry(master, batch.where("stage_number <> 3"), "scan", now=NOW).merged
-    return rounded(out.where("stage_number <> 3").select("stage_id", "distance_km", "source_kml", "hairpin_count"))
+    out = gm.merge_geometry(master, batch, "scan", now=NOW).merged
+    return rounded(out.select("stage_id", "distance_km", "source_kml", "hairpin_count"))
 
 
 @query(

@@ -13,7 +13,7 @@ from splitclock.functions.scoring import elevation_status, geometry_status
 from splitclock.functions.text import build_stage_id, clean_text, to_number
 from splitclock.operators.lookups import effective_surface
 from splitclock.operators.merge import Merge, merge_upsert
-from splitclock.operators.series import in_chunks, chunk_window, core, with_position
+from splitclock.operators.series import chunk_window, core, in_chunks, running_sum, with_position
 from splitclock.schemas import STAGE_GEOMETRY
 from splitclock.session import cut
 
@@ -184,8 +184,9 @@ def merge_geometry(
 
     Without ``order`` each stage occurs at most once and the merge is one join. With it, several rows of a stage apply
     one after the other, since each changes what the next is compared with: round ``n`` joins every stage's n-th row.
-    Rows equal to their predecessor change nothing and are counted without a round of their own, so the number of
-    rounds is the largest number of different successive versions of one stage.
+    Rows equal to their predecessor need no round of their own: after a conflict they conflict again, else they are
+    counted as metadata. So the number of rounds is the largest number of different successive versions of one stage,
+    and only the stages of the batch take part in them.
     """
     kept = (order,) if order else ()
     # Steps, counts and conflicts read the batch and its outcomes several times: write both once.
@@ -194,7 +195,6 @@ def merge_geometry(
     base = _complete(master).select(*[F.col(f.name).cast(f.dataType) for f in STAGE_GEOMETRY.fields])
     if replace_existing:
         base = base.where(F.lit(False))
-    repeats = None
     if order is None:
         steps = cut(merge_step(base, keyed, now))
         merged = merge_upsert(base, steps.select("result.*"), ["stage_id"])
@@ -203,21 +203,23 @@ def merge_geometry(
         placed = with_position(keyed.withColumn("_b", F.floor(F.col(order) / 4096)), ["stage_id"], [order], ["_b"], "_pos").drop("_b")
         chunked = in_chunks(placed.withColumn("_h", F.xxhash64(*names)), ["stage_id"], "_pos", before=1)
         repeated = F.coalesce(F.col("_h") == F.lag("_h").over(chunk_window(["stage_id"], "_pos")), F.lit(False))
-        marked = cut(core(chunked.withColumn("_repeat", repeated)).drop("_h"))
-        repeats = marked.where("_repeat").select("stage_id", F.lit("metadata_updated").alias("outcome"))
-        todo = marked.where("NOT _repeat").withColumn("_b", F.floor(F.col(order) / 4096))
-        todo = cut(with_position(todo.drop("_pos"), ["stage_id"], [order], ["_b"], "_round").drop("_b", "_repeat"))
+        marked = core(chunked.withColumn("_repeat", repeated)).drop("_h")
+        # The round of a row: how many rows up to it differ from their predecessor.
+        numbered = cut(running_sum(marked, ["stage_id"], "_pos", F.when(F.col("_repeat"), 0).otherwise(1), "_round").withColumn("_round", F.col("_round").cast("int")).drop("_pos"))
+        todo = numbered.where("NOT _repeat").drop("_repeat")
         rounds = todo.agg(F.max("_round")).first()[0] or 0
-        merged, steps = base, None
+        touched = todo.select("stage_id").distinct()
+        open_, steps = cut(base.join(touched, "stage_id", "left_semi")), None
         for n in range(1, rounds + 1):
-            step = cut(merge_step(merged, todo.where(F.col("_round") == n), now))
-            merged = cut(merge_upsert(merged, step.select("result.*"), ["stage_id"]))
+            step = cut(merge_step(open_, todo.where(F.col("_round") == n), now).withColumn("_round", F.lit(n)))
+            open_ = cut(merge_upsert(open_, step.select("result.*"), ["stage_id"]))
             steps = step if steps is None else steps.unionByName(step)
+        merged = base.join(touched, "stage_id", "left_anti").unionByName(open_)
         if steps is None:
-            steps = merge_step(base, keyed, now)
+            steps = merge_step(base, keyed, now).withColumn("_round", F.lit(0))
+        again = numbered.where("_repeat").select("stage_id", "_round").join(steps, ["stage_id", "_round"])
+        steps = steps.unionByName(again.withColumn("outcome", F.when(F.col("outcome") == "conflict", "conflict").otherwise("metadata_updated")))
     outcomes = steps.select("stage_id", "outcome")
-    if repeats is not None:
-        outcomes = outcomes.unionByName(repeats)
     conflicts = steps.where("outcome = 'conflict'").select(
         F.lit("stage_geometry").alias("entity_type"), F.col("stage_id").alias("entity_key"), F.lit("same_stage_id_different_route").alias("conflict_type"),
         F.to_json("result").alias("master_payload"), F.to_json("candidate").alias("incoming_payload"),

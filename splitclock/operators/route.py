@@ -16,10 +16,9 @@ from splitclock.operators.series import (
     chunk_window,
     core,
     exact_quantiles,
-    group_stats,
     in_chunks,
-    log_bucket,
     running_sum,
+    values_at,
     with_position,
 )
 
@@ -218,9 +217,7 @@ def path_features(points: DataFrame, variant: str = "analyzer", step: float = 10
 
 def index_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
     """The value at zero-based place int(q * n) of the sorted values."""
-    rows = df.where(F.col(value).isNotNull()).select("route_id", value).withColumn("_bucket", log_bucket(F.col(value)))
-    ranked = group_stats(with_position(rows, KEY, [value], ["_bucket"]), KEY, {"_n": _count()})
-    return ranked.groupBy("route_id").agg(F.max(F.when(F.col("position") == F.floor(F.col("_n") * F.lit(q)) + 1, F.col(value))).alias(name))
+    return values_at(df, KEY, value, {name: F.floor(F.col("_n") * F.lit(q)) + 1}).select("route_id", name)
 
 
 def elevation_knots(samples: DataFrame, every: int = 20) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+#: Fine value buckets per octave: neighbours differ by about 3e-7 of their value.
+FINE = 1 << 21
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], where: Column | None = None, base: DataFrame | None = None) -> DataFrame:
@@ -119,30 +121,45 @@ def log_bucket(value: Column, per_octave: int = 512) -> Column:
     return F.when(value < 0, -scaled - 1).otherwise(scaled)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation between the two neighbouring values, per key.
+def values_at(df: DataFrame, keys: Sequence[str], value: str, places: Mapping[str, Column]) -> DataFrame:
+    """Per key the values at 1-based places of the sorted values, and their number ``_n``. A place is an expression of ``_n``.
 
-    Counts per value bucket tell in which buckets the wanted ranks lie; only the rows of those buckets are sorted.
+    Values are narrowed down by counts: coarse buckets, then fine ones inside the buckets that hold a wanted place, then
+    the distinct values of those. Equal values are one row with a count, so a value that most rows have is no group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_bucket", log_bucket(F.col(value)))
-    totals = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    up_to = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumns(
-        {"_before": F.coalesce(F.sum("_rows").over(up_to), F.lit(0)), "_n": F.sum("_rows").over(W.partitionBy(*keys))}
-    )
-    ranks = {}
-    wanted = F.lit(False)
-    for name, q in quantiles.items():
+
+    def wanted(before: Column, count: Column) -> Column:
+        out = F.lit(False)
+        for place in places.values():
+            out = out | ((place > before) & (place <= before + count))
+        return out
+
+    def up_to(*group: str, order: str):
+        return F.coalesce(F.sum("_rows").over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    coarse = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    coarse = coarse.withColumns({"_before": up_to(*keys, order="_bucket"), "_n": F.sum("_rows").over(W.partitionBy(*keys))})
+    coarse = coarse.where(wanted(F.col("_before"), F.col("_rows"))).select(*keys, "_bucket", "_before", "_n")
+    distinct = rows.join(coarse, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_before", "_n", value).agg(F.count(F.lit(1)).alias("_rows"))
+    distinct = distinct.withColumn("_fine", log_bucket(F.col(value), FINE))
+    fine = distinct.groupBy(*keys, "_bucket", "_before", "_n", "_fine").agg(F.sum("_rows").alias("_rows"))
+    fine = fine.withColumn("_start", F.col("_before") + up_to(*keys, "_bucket", order="_fine"))
+    fine = fine.where(wanted(F.col("_start"), F.col("_rows"))).select(*keys, "_bucket", "_fine", "_start")
+    hits = distinct.join(fine, [*keys, "_bucket", "_fine"])
+    hits = hits.withColumn("_at", F.col("_start") + up_to(*keys, "_bucket", "_fine", order=value))
+    found = [F.max(F.when((place > F.col("_at")) & (place <= F.col("_at") + F.col("_rows")), F.col(value))).alias(name) for name, place in places.items()]
+    return hits.groupBy(*keys).agg(F.max("_n").alias("_n"), *found)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """Percentiles with linear interpolation between the two neighbouring values, per key."""
+    places = {}
+    for k, q in enumerate(quantiles.values()):
         rank = (F.col("_n") - 1) * F.lit(float(q))
-        ranks[name] = (rank, F.floor(rank) + 1, F.ceil(rank) + 1)
-        for place in ranks[name][1:]:
-            wanted = wanted | ((place > F.col("_before")) & (place <= F.col("_before") + F.col("_rows")))
-    hits = rows.join(totals.where(wanted).drop("_rows"), [*keys, "_bucket"])
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value)
-    hits = hits.withColumn("_at", F.col("_before") + F.row_number().over(inside))
+        places |= {f"_low{k}": F.floor(rank) + 1, f"_high{k}": F.ceil(rank) + 1}
     out = []
-    for name, (rank, low_at, high_at) in ranks.items():
-        low = F.max(F.when(F.col("_at") == low_at, F.col(value)))
-        high = F.max(F.when(F.col("_at") == high_at, F.col(value)))
-        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
-    return hits.groupBy(*keys).agg(*out)
+    for k, (name, q) in enumerate(quantiles.items()):
+        rank = (F.col("_n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * (rank - F.floor(rank))).alias(name))
+    return values_at(df, keys, value, places).select(*keys, *out)

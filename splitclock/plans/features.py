@@ -12,7 +12,7 @@ from splitclock.operators import facts, history
 from splitclock.operators.aggregates import geometry_profile
 from splitclock.operators.lookups import attach_profiles, results_inner_geometry, results_left_geometry
 from splitclock.operators.series import group_stats
-from splitclock.session import cut
+from splitclock.session import stored
 
 STAGE_FEATURES = [
     "distance_km", "hairpin_count", "hairpin_density", "turn_count", "turn_density", "total_ascent", "total_descent",
@@ -99,7 +99,7 @@ def v1_feature_matrix(df: DataFrame, classes: Sequence[str], lookback: int = 15,
     rated = facts.ratio_to_class_best(rows, ("rally_id", "stage_id", "car_class"))
     out = class_features(stage_features(rated), classes)
     # The medians read every row of the matrix: write it once rather than run the history windows again for each.
-    out = cut(competition_features(rally_context(history.history_features(out, lookback))))
+    out = stored(competition_features(rally_context(history.history_features(out, lookback))))
     out = history.impute_surface_median(out, V1_IMPUTED[:2])
     return history.impute_median(out, V1_IMPUTED)
 
@@ -134,8 +134,8 @@ def prediction_features(df: DataFrame, profiles: DataFrame) -> DataFrame:
 def training_set_profiles(results: DataFrame, geometry: DataFrame, least_rows: int = 10) -> DataFrame:
     """Rows with geometry, driver profile, expanding baseline and the correction factor within (0.8, 1.2)."""
     joined = results_inner_geometry(facts.valid_results(results) if "status" in results.columns else results.where(F.col("time_seconds") > 0), geometry)
-    kept = facts.min_history_filter(joined, least_rows)
-    based = history.expanding_baseline(kept)
+    kept = stored(facts.min_history_filter(joined, least_rows))
+    based = stored(history.expanding_baseline(kept))
     profiles = geometry_profile(results_left_geometry(results, geometry))
     based = based.withColumns({"momentum_factor": F.lit(1.0), "surface_adjustment": F.lit(1.0)})
     full = prediction_features(based, profiles).withColumn("correction_factor", F.col("ratio_to_class_best") / F.col("baseline_ratio"))
@@ -150,17 +150,19 @@ def training_set_trainer(results: DataFrame, geometry: DataFrame, leak_free: boo
     included, as older models were trained.
     """
     keys = ("stage_id", "normalized_class")
-    joined = results_inner_geometry(results.where(F.col("time_seconds") > 0).drop("ratio_to_class_best", "class_best_time"), geometry.where(F.col("hairpin_count").isNotNull()))
+    # Every series step below joins its rows with totals of the same rows: each works on written rows, so that the plan
+    # of a step reads them a fixed number of times.
+    joined = stored(results_inner_geometry(results.where(F.col("time_seconds") > 0).drop("ratio_to_class_best", "class_best_time"), geometry.where(F.col("hairpin_count").isNotNull())))
     best = group_stats(joined, keys, {"class_best_time": F.min("time_seconds")})
     rated = best.withColumn("ratio_to_class_best", F.col("time_seconds") / F.col("class_best_time"))
-    rated = facts.ratio_band(rated, "ratio_to_class_best", 0.5, 2.0)
+    rated = stored(facts.ratio_band(rated, "ratio_to_class_best", 0.5, 2.0))
     if leak_free:
-        featured = history.expanding_baseline(rated, history.RALLY_ORDER).withColumnRenamed("baseline_ratio", "driver_avg_ratio")
+        featured = stored(history.expanding_baseline(rated, history.RALLY_ORDER).withColumnRenamed("baseline_ratio", "driver_avg_ratio"))
         featured = history.history_surface(featured, base=rated).withColumnRenamed("driver_mean_ratio_surface", "driver_surface_ratio")
-        featured = featured.withColumn("driver_surface_ratio", F.coalesce("driver_surface_ratio", "driver_avg_ratio"))
+        featured = stored(featured.withColumn("driver_surface_ratio", F.coalesce("driver_surface_ratio", "driver_avg_ratio")))
     else:
-        featured = history.driver_means(rated)
-    featured = history.rolling_baseline(history.rolling_momentum(featured, base=rated), base=rated)
+        featured = stored(history.driver_means(rated))
+    featured = history.rolling_baseline(stored(history.rolling_momentum(featured, base=rated)), base=rated)
     featured = featured.withColumn("correction_factor", F.col("ratio_to_class_best") / F.col("baseline_ratio"))
     return facts.ratio_band(featured, "correction_factor", 0.8, 1.2)
 

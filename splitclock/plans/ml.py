@@ -19,14 +19,15 @@ from splitclock.session import cut
 
 def boosted_pipeline(
     features: Sequence[str], label: str, categorical: Sequence[str] = (), iterations: int = 300, depth: int = 6, step: float = 0.05, leaf: int = 20, subsample: float = 1.0,
-    validation: str | None = None, seed: int = 42,
+    validation: str | None = None, seed: int = 42, bins: int = 64,
 ) -> Pipeline:
-    """Text columns are indexed (unseen values get an index of their own), everything is one vector, trees follow."""
+    """Text columns are indexed (unseen values get an index of their own), everything is one vector, trees follow.
+    ``bins`` must be above the number of values of any text column."""
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in categorical]
     inputs = [f for f in features if f not in categorical] + [f"{c}_index" for c in categorical]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     trees = GBTRegressor(
-        labelCol=label, featuresCol="features", predictionCol="prediction", maxIter=iterations, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, subsamplingRate=subsample, maxBins=64, seed=seed,
+        labelCol=label, featuresCol="features", predictionCol="prediction", maxIter=iterations, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, subsamplingRate=subsample, maxBins=bins, seed=seed,
         cacheNodeIds=True, checkpointInterval=20,
     )
     if validation:
@@ -42,7 +43,9 @@ def train_correction_model(rows: DataFrame, features: Sequence[str], label: str
     early = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10)) == 0
     # Boosting reads its rows once per tree level: write them before.
     data = cut(random_split(filled.select(key, label, *features), key).withColumn("_early", early))
-    pipeline = boosted_pipeline(features, label, [c for c in CATEGORICAL if c in features], validation="_early", **params)
+    texts = [c for c in CATEGORICAL if c in features]
+    values = data.agg(F.greatest(F.lit(0), F.lit(0), *[F.count_distinct(c) for c in texts])).first()[0]
+    pipeline = boosted_pipeline(features, label, texts, validation="_early", bins=max(64, values + 2), **params)
     model = pipeline.fit(data.where("split = 'train'"))
     held_out = cut(model.transform(data.where("split = 'val'")).select(key, label, *features, "prediction"))
     return model, regression_metrics(held_out, label, "prediction"), held_out

@@ -12,6 +12,7 @@ from splitclock.functions.times import format_minutes
 from splitclock.operators import aggregates, history
 from splitclock.operators.facts import class_best
 from splitclock.operators.lookups import GEOMETRY_INPUTS, history_reference_pace
+from splitclock.session import stored
 
 DEFAULT_BASELINE = 1.05
 UNKNOWN_DRIVER_BASELINE = 1.1
@@ -47,8 +48,12 @@ def predict_baseline(requests: DataFrame, results: DataFrame, legacy_sign: bool
 
     ``requests``: driver_id, rally_id, stage_id, stage_number, surface, normalized_class. Positive momentum means
     better form and lowers the time; ``legacy_sign`` multiplies by 1 + momentum instead. A request that cannot be
-    answered keeps its row and says why in ``error``.
+    answered keeps its row and says why in ``error``. Results are written once; every part of the plan reads that.
     """
+    return _baseline(requests, stored(results), legacy_sign)
+
+
+def _baseline(requests: DataFrame, results: DataFrame, legacy_sign: bool) -> DataFrame:
     base = history.recency_weighted_baseline(results).select("driver_id", F.col("baseline_ratio").alias("driver_baseline"), "data_points", "total_stages")
     profile = aggregates.surface_profile(results)
     leader = class_best(results, ("stage_id", "normalized_class"), driver="driver_id")
@@ -73,7 +78,8 @@ def predict_notional(requests: DataFrame, results: DataFrame, geometry: DataFram
 
     ``corrections``: driver_id, stage_id, geometric_correction from a trained model (see ``plans.ml``).
     """
-    b = predict_baseline(requests, results, legacy_sign)
+    results = stored(results)
+    b = stored(_baseline(requests, results, legacy_sign))
     failed = F.col("error").isNotNull()
     b = b.withColumns(
         {
@@ -156,7 +162,8 @@ def predict_live(requests: DataFrame, results: DataFrame, live: DataFrame, corre
     ``requests``: driver_id, normalized_class, and the stage context columns (see ``lookups.stage_context``).
     ``results`` is history with ratios; ``live`` holds the running rallies' rows with ratios.
     """
-    q = before_stage_form(driver_state(requests, results), live)
+    results = stored(results)
+    q = before_stage_form(driver_state(stored(requests), results), stored(live))
     q = _with_corrections(_surface_factor(history.momentum_columns(q), results), corrections)
     return _finish(q, F.col("stages_analyzed"), "prediction_service_live_v1")
 
@@ -166,7 +173,8 @@ def predict_route(requests: DataFrame, results: DataFrame, corrections: DataFram
 
     ``requests``: driver_id, normalized_class, stage_name, surface and the route's geometry columns.
     """
-    q = requests.withColumns(
+    results = stored(results)
+    q = stored(requests).withColumns(
         {
             "rally_id": F.lit("kml_manual"), "stage_id": F.concat(F.lit("kml_"), slugify(F.col("stage_name"), "stage")),
             "stage_length_km": F.coalesce(F.nullif("distance_km", F.lit(0.0)), F.lit(15.0)),
@@ -190,16 +198,17 @@ def predict_manual(requests: DataFrame, results: DataFrame, n: int = 15) -> Data
     ``requests``: driver_id, stage_length_km, surface. Ratios are against the leader of the driver's newest class on
     each of those stages.
     """
-    last = history.last_n_history(results, n)
+    results = stored(results)
+    last = stored(history.last_n_history(results, n))
     newest = last.groupBy("driver_id").agg(F.min_by(F.struct("car_class", "normalized_class"), "recency").alias("_c"))
     last = last.drop("car_class", "normalized_class", "class_best_time", "ratio_to_class_best").join(newest, "driver_id").select("*", "_c.*").drop("_c")
     leader = results.where(F.col("time_seconds") > 0).groupBy("rally_id", "stage_number", "normalized_class").agg(F.min("time_seconds").alias("class_best_time"))
     rated = last.join(leader, ["rally_id", "stage_number", "normalized_class"]).where("class_best_time > 0").withColumn("ratio_to_class_best", F.col("time_seconds") / F.col("class_best_time"))
     # Newest first again: stages without a leader of that class left gaps.
-    rated = history.last_n_history(rated.drop("recency"), n)
+    rated = stored(history.last_n_history(rated.drop("recency"), n))
     form = history.form_5v5(rated)
     by_surface = rated.groupBy("driver_id", F.lower("surface").alias("_s")).agg(F.avg("ratio_to_class_best").alias("_sa"), F.count(F.lit(1)).alias("_sn"))
-    overall = rated.groupBy("driver_id").agg(F.avg("ratio_to_class_best").alias("_oa"), F.first("car_class").alias("car_class"), F.first("normalized_class").alias("normalized_class"))
+    overall = rated.groupBy("driver_id").agg(F.avg("ratio_to_class_best").alias("_oa"), F.min_by("car_class", "recency").alias("car_class"), F.min_by("normalized_class", "recency").alias("normalized_class"))
     q = requests.join(form, "driver_id", "left").join(overall, "driver_id", "left").withColumn("_s", F.lower("surface")).join(by_surface, ["driver_id", "_s"], "left")
     surface_n = F.coalesce("_sn", F.lit(0).cast("bigint"))
     q = q.withColumn("surface_adjustment", F.when(surface_n >= 3, F.col("_sa") / F.col("_oa")).otherwise(1.0))

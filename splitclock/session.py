@@ -27,14 +27,16 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. The cluster names it in ``spark.checkpoint.dir``;
-    a temporary one is made only where that setting is absent (tests, local runs)."""
+    """The folder every executor can reach. The cluster names it in ``spark.checkpoint.dir``; a temporary one is made only
+    in local mode, where one machine is the whole cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that the driver and all executors share in spark.checkpoint.dir")
     path = tempfile.mkdtemp(prefix="splitclock-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -49,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it again. What reads it later takes only its columns."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     import uuid

@@ -24,9 +24,31 @@ def stream_results(spark: SparkSession, folder: str, schema: T.StructType, forma
     return reader.format(format).load(folder).where(F.col("result_id").isNotNull() & (F.col("time_seconds") > 0))
 
 
-def stream_dedup(rows: DataFrame, event_time: str, delay: str = "2 hours") -> DataFrame:
-    """Drop rows sent again. The watermark bounds how long ids are remembered, nothing else."""
-    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["result_id"])
+def _remember(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Store a micro-batch by rally; a repeated batch replaces itself."""
+    batch.write.mode("overwrite").partitionBy("rally_id").parquet(f"{path}/batch={batch_id}")
+
+
+def _remembered(batch: DataFrame, path: str, batch_id: int, own: bool = True) -> DataFrame:
+    """Stored rows, with their ``batch``, of the rallies that ``batch`` names; other rallies' files are not read."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])
+    stored = batch.sparkSession.read.schema(schema).parquet(path)
+    stored = stored.where(F.col("batch") <= batch_id) if own else stored.where(F.col("batch") < batch_id)
+    return stored.join(batch.select("rally_id").distinct(), "rally_id", "left_semi")
+
+
+def stream_dedup(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store results sent for the first time, whenever they arrive: nothing is late, and an id is never forgotten. Each
+    micro-batch adds what the stored rows of its rallies do not have; ``path`` holds the results by batch and rally."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["result_id"])
+        if batch_id > 0:
+            before = _remembered(batch, path, batch_id, own=False)
+            fresh = fresh.join(before.select("result_id"), "result_id", "left_anti").select(*batch.columns)
+        _remember(fresh, path, batch_id)
+
+    return _start(rows, handle, checkpoint)
 
 
 def stream_class_best(rows: DataFrame) -> DataFrame:
@@ -43,11 +65,9 @@ def stream_momentum(rows: DataFrame, seen_path: str, baselines: DataFrame, out_p
     touched: a late or corrected time changes its class leader and with it everybody's ratio."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
-        stored = spark.read.parquet(seen_path)
-        newest = stored.groupBy("result_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "result_id"]), "batch").alias("r")).select("result_id", "r.*")
-        touched = newest.join(batch.select("rally_id").distinct(), "rally_id", "left_semi")
+        _remember(batch, seen_path, batch_id)
+        stored = _remembered(batch, seen_path, batch_id)
+        touched = stored.groupBy("result_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "result_id"]), "batch").alias("r")).select("result_id", "r.*")
         form = live_momentum(touched.withColumn("normalized_class", F.col("car_class")), baselines)
         form.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
@@ -63,8 +83,8 @@ def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFr
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/seen/batch={batch_id}")
-        stored = spark.read.parquet(f"{root}/seen").where(F.col("batch") <= batch_id).drop("batch")
+        _remember(batch, f"{root}/seen", batch_id)
+        stored = _remembered(batch, f"{root}/seen", batch_id).drop("batch")
         actual = batch.select("rally_id", "stage_id", "driver_id", "time_seconds")
         arrived = batch.select("stage_id").distinct().withColumn("_arrived", F.lit(True))
         log = None
