@@ -102,6 +102,17 @@ def test_ordered_merge_equals_one_by_one(spark):
     assert m.merged.first()["source_kml"] == "near_duplicate.kml"
 
 
+def test_a_repeated_conflict_conflicts_again(spark):
+    now = "2024-01-01T00:00:00"
+    other = geo(spark, "different.kml", 18.0, 40.0, 35.0, 2.0, 0.001, 0)
+    batch = geo(spark, "seed.kml").withColumn("seq", F.lit(0))
+    for i, s in enumerate([other, other, geo(spark, "seed.kml"), geo(spark, "seed.kml"), other], 1):
+        batch = batch.unionByName(s.withColumn("seq", F.lit(i)))
+    m = geometry.merge_geometry(spark.createDataFrame([], STAGE_GEOMETRY), batch, "all", order="seq", now=now)
+    assert counts(m) == (1, 2, 0, 3)
+    assert m.conflicts.count() == 3 and m.merged.first()["source_kml"] == "seed.kml"
+
+
 def test_row_without_stage_is_skipped(spark):
     bad = spark.createDataFrame([(None, None, 5.0)], "stage_id STRING, rally_id STRING, distance_km DOUBLE")
     m = geometry.merge_geometry(spark.createDataFrame([], STAGE_GEOMETRY), bad, "x")

@@ -108,3 +108,18 @@ def test_route_chunks_change_nothing(spark):
         assert whole.keys() == small.keys()
         for k in whole:
             assert small[k] == pytest.approx(whole[k], abs=1e-6)
+
+
+def test_quantiles_of_a_column_with_one_common_value(spark):
+    """Nine rows in ten have one value; equal values are one row with a count, and the rest is interpolated as always."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from splitclock.operators.series import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.full(9000, 2.5), rng.normal(3, 1, 1000), np.zeros(50), -rng.random(50) * 1e-9])
+    df = spark.createDataFrame([(k % 2, float(v)) for k, v in enumerate(values)], "k int, v double").withColumn("v", F.col("v"))
+    got = {r.k: (r.a, r.b, r.c) for r in exact_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.97}).collect()}
+    for k in (0, 1):
+        assert np.allclose(got[k], np.quantile(values[k::2], [0.01, 0.5, 0.97]), rtol=1e-12, atol=0)
