@@ -313,6 +313,37 @@ def save_load_model(spark, d):
     return again.transform(held.drop("prediction")).select("result_id", "prediction")
 
 
+@query(
+    "model_invariants",
+    """SELECT * FROM (VALUES ('attributions are own minus replaced', true), ('corrections stay within the clip', true), ('fallback exactly without hairpins', true), ('importances add up to one', true), ('metrics are of the held-out rows', true), ('reloaded predictions are equal', true)) AS t(fact, holds)""",
+)
+def model_invariants(spark, d):
+    """What must hold for any trained correction model, whatever it has learned."""
+    model, metrics, held = correction_model(spark, d)
+    rows = held.drop("prediction")
+    root = scratch_path(spark, "model")
+    ml.save_model(model, root, "v1", metrics)
+    again = ml.load_model(spark, root).transform(rows).select("result_id", F.col("prediction").alias("again"))
+    applied = ml.apply_correction(model, rows)
+    density, c = F.coalesce("hairpin_density", F.lit(0.0)), F.col("geometric_correction")
+    parts = ml.attribution(model, rows, MODEL_FEATURES)
+    shares = parts.groupBy("result_id").agg(F.sum("share_pct").alias("s"), F.sum(F.abs("contribution")).alias("a"))
+    mae = held.agg(F.avg(F.abs(F.col("correction_factor") - F.col("prediction"))).alias("mae"), F.count(F.lit(1)).alias("n"))
+    facts_ = {
+        "importances add up to one": ml.model_importance(spark, model).agg((F.abs(F.sum("importance") - 1) < 1e-9) & (F.min("importance") >= 0)),
+        "corrections stay within the clip": applied.agg((F.min(c) >= 0.85) & (F.max(c) <= 1.15)),
+        "fallback exactly without hairpins": applied.agg(F.min(((F.col("geometric_mode") == "fallback") == (density <= 0)) & ((density > 0) | (c == 1.0)))),
+        "reloaded predictions are equal": held.join(again, "result_id").agg(F.min(F.col("prediction") == F.col("again"))),
+        "attributions are own minus replaced": shares.agg(F.min((F.abs(F.col("s") - 100) < 1e-6) | (F.col("a") == 0))),
+        "metrics are of the held-out rows": metrics.agg(F.min((F.abs(F.col("mae") - mae.select("mae").scalar()) < 1e-9) & (F.col("n") == mae.select("n").scalar()))),
+    }
+    out = None
+    for name, df in facts_.items():
+        one = df.toDF("holds").select(F.lit(name).alias("fact"), "holds")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("train_ratio_model")
 def train_ratio_model(spark, d):
     names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

@@ -92,6 +92,35 @@ def predict_notional(spark, d):
     return rounded(out.select("result_id", "predicted_ratio", "predicted_time", "confidence_score", "confidence_level"), predicted_time=4)
 
 
+@query(
+    "predict_notional_corrected",
+    with_ctes(
+        NOTIONAL,
+        """SELECT result_id, CASE WHEN used THEN 'geometric' ELSE 'fallback' END AS geometric_mode, round(ratio * correction, 6) AS predicted_ratio, round(ratio * correction * class_best_time, 4) AS predicted_time
+           FROM (SELECT *, CASE WHEN used THEN 0.97::DOUBLE + (driver_id % 7) / 100.0::DOUBLE ELSE 1.0::DOUBLE END AS correction FROM (SELECT *, stage_number % 2 = 0 AND (ev * 7 + stage_number * 13) % 17 > 0 AS used FROM scored))""",
+    ),
+)
+def predict_notional_corrected(spark, d):
+    """Corrections are given for the stages with an even number; those without hairpins fall back."""
+    asked = requests(spark, d)
+    given = asked.where(F.col("stage_number") % 2 == 0).select("driver_id", "stage_id", (F.lit(0.97) + F.col("driver_id") % 7 / F.lit(100.0)).alias("geometric_correction"))
+    out = predict.predict_notional(asked, classed(spark, d), fx.stage_geometry(spark, d), given)
+    return rounded(out.select("result_id", "geometric_mode", "predicted_ratio", "predicted_time"), predicted_time=4)
+
+
+@query("predict_notional_from_model")
+def predict_notional_from_model(spark, d):
+    """End to end: the trained correction of every request goes into its prediction."""
+    from splitclock.catalog.external import correction_model
+    from splitclock.plans import ml
+
+    model, _, held = correction_model(spark, d)
+    asked = requests(spark, d)
+    scored = ml.apply_correction(model, held.drop("prediction")).join(asked.select("result_id", "driver_id", "stage_id"), "result_id").where("geometric_mode = 'geometric'")
+    out = predict.predict_notional(asked, classed(spark, d), fx.stage_geometry(spark, d), scored.select("driver_id", "stage_id", "geometric_correction"))
+    return rounded(out.select("result_id", "geometric_mode", "geometric_correction", "predicted_time"), predicted_time=4)
+
+
 @query("predict_batch", with_ctes(NOTIONAL, "SELECT result_id, round(ratio * class_best_time, 4) AS predicted_time FROM scored"))
 def predict_batch(spark, d):
     asked = requests(spark, d).unionByName(requests(spark, d).withColumn("normalized_class", F.lit("no such class")))
@@ -165,9 +194,12 @@ def factor_waterfall(spark, d):
     return rounded(predict.factor_waterfall(live_predictions(spark, d)))
 
 
-@query("explanation_json")
+@query("explanation_json", with_ctes(LIVE, f"SELECT result_id, driver_id, predicted_ratio AS ratio, predicted_time AS time_seconds, confidence_level AS confidence FROM ({LIVE_SQL}) JOIN (SELECT result_id, driver_id FROM timed) USING (result_id)"))
 def explanation_json(spark, d):
-    return predict.explanation_json(live_predictions(spark, d))
+    """The reports, with fields read back from the text."""
+    report = F.from_json("report", "driver_id long, prediction struct<ratio: double, time_seconds: double, confidence: string>")
+    read = predict.explanation_json(live_predictions(spark, d)).select("result_id", report.alias("r"))
+    return rounded(read.select("result_id", "r.driver_id", "r.prediction.ratio", "r.prediction.time_seconds", "r.prediction.confidence"), time_seconds=4)
 
 
 ROUTE = FORM + """,

@@ -169,10 +169,11 @@ def is_stage_placemark(spark, d):
     return p.select("p_partkey", classes.is_stage_placemark(name, F.col("p_size") / 10.0).alias("is_stage"), classes.is_marked_stage(name).alias("is_marked"))
 
 
-@query("season_filter", with_ctes(fx.RAW, "SELECT result_id, regexp_extract(rally_name, '(20[0-9]{2})', 1) AS season FROM raw WHERE regexp_extract(rally_name, '(20[0-9]{2})', 1) NOT IN ('2000')"))
+@query("season_filter", with_ctes(fx.RAW, "SELECT result_id, CASE WHEN year(rally_date) % 7 = 0 THEN '' ELSE CAST(year(rally_date) + 30 AS VARCHAR) END AS season FROM raw WHERE year(rally_date) % 7 = 0 OR year(rally_date) + 30 NOT IN (2024, 2026)"))
 def season_filter(spark, d):
-    season = F.coalesce(text.year_from_text(F.col("rally_name")), F.lit(""))
-    return fx.raw_results(spark, d).withColumn("season", season).where(~F.col("season").isin("2000")).select("result_id", "season")
+    year = F.year("rally_date")
+    named = fx.raw_results(spark, d).withColumn("rally_name", F.concat(F.lit("Rallisi "), F.when(year % 7 == 0, "").otherwise((year + 30).cast("string"))))
+    return facts.season_filter(named, [2024, 2026]).select("result_id", "season")
 
 
 @query("numeric_feature_select")
@@ -431,7 +432,7 @@ def geometry_profile(spark, d):
     return rounded(ag.geometry_profile(lk.results_left_geometry(fx.rated_results(spark, d), fx.stage_geometry(spark, d))))
 
 
-@query("attach_profiles", with_ctes(PROFILE, """SELECT r.result_id, round(coalesce(nullif(p.hairpin_performance, 0), 1.0), 6) AS driver_hairpin_perf, round(coalesce(nullif(p.climb_performance, 0), 1.0), 6) AS driver_climb_perf,
+@query("attach_profiles", with_ctes(PROFILE.replace(" AS (", " AS MATERIALIZED ("), """SELECT r.result_id, round(coalesce(nullif(p.hairpin_performance, 0), 1.0), 6) AS driver_hairpin_perf, round(coalesce(nullif(p.climb_performance, 0), 1.0), 6) AS driver_climb_perf,
    round(coalesce(nullif(p.curvature_sensitivity, 0), 1.0), 6) AS driver_curvature_sens, round(coalesce(nullif(p.grade_performance, 0), 1.0), 6) AS driver_grade_perf,
    CASE p.confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.7::DOUBLE WHEN 'LOW' THEN 0.4::DOUBLE WHEN 'INSUFFICIENT' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS driver_profile_confidence
    FROM rated r LEFT JOIN prof p USING (driver_id)"""))
@@ -611,7 +612,7 @@ def temporal_split(spark, d):
     return ag.temporal_split(fx.timed_results(spark, d)).select("result_id", "split")
 
 
-@query("random_split")
+@query("random_split", with_ctes(fx.TIMED, "SELECT CASE WHEN CAST(concat('0x', substr(md5(concat(result_id, '_42')), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'val' END AS split, count(*) AS rows FROM timed GROUP BY 1"))
 def random_split(spark, d):
     return ag.random_split(fx.timed_results(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 

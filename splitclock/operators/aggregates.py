@@ -320,8 +320,10 @@ def temporal_split(df: DataFrame, train: float = 0.70, validation: float = 0.15)
 
 
 def random_split(df: DataFrame, key: str = "result_id", train_pct: int = 80, seed: int = 42) -> DataFrame:
-    """Label rows by a hash of their key: the same row falls into the same part in every run and plan."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < train_pct, "train").otherwise("val"))
+    """Label rows by a hash of their key that other engines have too: the same row falls into the same part in every run
+    and plan. The first 32 bits of the MD5 of key and seed, modulo 100, are below ``train_pct`` for training rows."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint") % 100
+    return df.withColumn("split", F.when(place < train_pct, "train").otherwise("val"))
 
 
 def stages_union_geometry(stages: DataFrame, geometry: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitclock.functions.text import build_stage_id
+from splitclock.functions.text import build_stage_id, year_from_text
 from splitclock.operators.series import exact_quantiles, group_stats, with_position
 
 VALID_STATUS = ("FINISHED", "OK")
@@ -51,6 +51,12 @@ def filter_diagnostics(df: DataFrame) -> DataFrame:
     )
 
 
+def season_filter(df: DataFrame, excluded: Sequence[int], name: str = "rally_name") -> DataFrame:
+    """Rows whose name has no year, or one that is not among ``excluded``; the year is added as ``season``."""
+    season = F.coalesce(year_from_text(F.col(name)), F.lit(""))
+    return df.withColumn("season", season).where(~F.col("season").isin([str(y) for y in excluded]))
+
+
 def finishers(df: DataFrame, class_col: str = "normalized_class") -> DataFrame:
     return df.where((F.col("time_seconds") > 0) & F.col(class_col).isNotNull())
 
