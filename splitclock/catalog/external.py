@@ -224,6 +224,20 @@ def file_inventory(spark, d):
     return listed.agg(F.count(F.lit(1)).alias("files"), F.count_if((F.col("size_kb") > 0) & F.col("modified").isNotNull()).alias("filled"))
 
 
+@query("processed_file_log", "SELECT count(DISTINCT user_id) AS logged, count(DISTINCT user_id) FILTER (WHERE user_id % 3 = 0) AS left_over FROM events")
+def processed_file_log(spark, d):
+    """Two runs over the same folder: the first does two files in three, the second finds the others."""
+    path = scratch_path(spark, "routes")
+    route_files(spark, d).select("route_id", F.decode("content", "utf-8").alias("value")).repartition("route_id").write.partitionBy("route_id").text(path)
+    listed = kml.file_inventory(spark, path, r"\.txt$").drop("name")
+    third = F.regexp_extract("path", r"route_id=(\d+)", 1).cast("long") % 3 == 0
+    none = spark.createDataFrame([], "path string, size_kb double, modified date, status string")
+    log = stored(kml.log_processed(none, kml.unprocessed_files(listed, none).where(~third)))
+    rest = stored(kml.unprocessed_files(listed, log))
+    log = kml.log_processed(log, rest)
+    return log.agg(F.count_distinct("path").alias("logged")).withColumn("left_over", rest.agg(F.count(F.lit(1))).scalar())
+
+
 @query("simplify_rdp")
 def simplify_rdp(spark, d):
     from splitclock.operators.simplify import simplify_rdp as simplify

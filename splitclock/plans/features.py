@@ -101,7 +101,11 @@ def v1_feature_matrix(df: DataFrame, classes: Sequence[str], lookback: int = 15,
     # The medians read every row of the matrix: write it once rather than run the history windows again for each.
     out = stored(competition_features(rally_context(history.history_features(out, lookback))))
     out = history.impute_surface_median(out, V1_IMPUTED[:2])
-    return history.impute_median(out, V1_IMPUTED)
+    # Every numeric column that still has gaps gets its median, not only the history columns.
+    numeric = numeric_feature_select(out)
+    empty = out.agg(*[F.max(F.col(c).isNull()).alias(c) for c in numeric]).first()
+    gaps = [c for c in numeric if empty[c]]
+    return history.impute_median(out, gaps) if gaps else out
 
 
 def interaction_features(df: DataFrame) -> DataFrame:

@@ -215,7 +215,12 @@ def _explode_pages(pages: DataFrame, parse, schema: T.StructType) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for page_id, html in zip(batch["page_id"], batch["html"]) for row in parse(page_id, html)]
+            rows: list[tuple] = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                rows += parse(page_id, html)
+                if len(rows) >= 2048:  # what is held is a page's rows, not those of a whole batch
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select(F.col("page_id").cast("string").alias("page_id"), "html").mapInPandas(run, schema)

@@ -108,6 +108,18 @@ def read_route_files(spark: SparkSession, folder: str, pattern: str = ROUTE_FILE
     return files.where(F.lower("path").rlike(pattern))
 
 
+def unprocessed_files(inventory: DataFrame, log: DataFrame) -> DataFrame:
+    """Files of an inventory that the log does not hold with this size and date. ``log``: path, size_kb, modified, status."""
+    return inventory.join(log.where("status = 'done'").select("path", "size_kb", "modified"), ["path", "size_kb", "modified"], "left_anti").select(*inventory.columns)
+
+
+def log_processed(log: DataFrame, files: DataFrame, status: str = "done") -> DataFrame:
+    """The log with one row per path, the newest outcome; files seen before get their row replaced."""
+    from splitclock.operators.merge import merge_upsert
+
+    return merge_upsert(log, files.select("path", "size_kb", "modified", F.lit(status).alias("status")), ["path"])
+
+
 def file_inventory(spark: SparkSession, folder: str, pattern: str = ROUTE_FILES) -> DataFrame:
     """Name, size and date of every route file; the contents are not read."""
     files = read_route_files(spark, folder, pattern)
