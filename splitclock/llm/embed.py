@@ -158,12 +158,12 @@ def _compare(least: float, tables: int):
                     i, j = left[i[first]], right[j[first]]
                     np.add.at(counts, i, n[j])
                     np.add.at(counts, j, n[i])
-                    found_a.append(i)
-                    found_b.append(j)
+                    found_a.append(np.arange(lo, hi))
+                    found_b.append(lo + local_components(hi - lo, i - lo, j - lo))
                 if not found_a:
                     continue
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
-                # Rows of one group are ordered by side, then rep: the root is the first row; that is as good as any.
+                # A row may stand in several groups of this part; the root is a row that all of its groups reach.
                 root = local_components(len(rep), a, b)
                 has = counts > 0
                 yield pa.record_batch([pa.array(rep[has]), pa.array(counts[has]), pa.array(rep[root[has]])], names=["rep", "links", "root"])
@@ -175,7 +175,7 @@ def _crosses(pair: int) -> bool:
     return pair >> 20 != pair & ((1 << 20) - 1)
 
 
-def linked_classes(found: DataFrame, least: float, tables: int = TABLES, block: int = 4096) -> DataFrame:
+def linked_classes(found: DataFrame, least: float, tables: int = TABLES, block: int = 1024) -> DataFrame:
     """(rep, links, root) from every bucket of the ``found`` classes: links counts vectors, root joins the bucket's parts."""
     labelled = found.withColumn("label_key", F.xxhash64("label"))
     schema = f"rep long, n long, label {found.schema['label'].dataType.simpleString()}, embedding {found.schema['embedding'].dataType.simpleString()}, label_key long, bucket long"
@@ -190,7 +190,7 @@ def linked_classes(found: DataFrame, least: float, tables: int = TABLES, block:
     return rows.repartition("label", "bucket", "pair").sortWithinPartitions("label", "bucket", "pair").mapInArrow(_compare(least, tables), "rep long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, block: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
     found = written(classes(rows), "classes")

@@ -212,15 +212,13 @@ def judged(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the learned list, with their columns.
 
-    The rules are learned from the labelled texts of ``docs``; then the whole table is judged in one pass over the rows,
-    without a shuffle of texts.
+    The rows are written once with their statistics, without a shuffle of texts; the rules are learned from the numbers
+    of the labelled rows, and then the written rows are filtered.
     """
-    marked = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learned_rules(with_ratios(written(text_statistics(marked.select("doc_id", "text"), "doc_id"), "statistics")), labels, **settings)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    # A filter on a row number cannot move below the statistics; moved there, it would compute them twice and nested.
-    judged_rows = with_ratios(text_statistics(docs.select(row, F.col("text")), "_row")).withColumn("_seen", F.monotonically_increasing_id())
-    return judged_rows.where((F.col("_seen") >= 0) & ~base_failed() & ~rejects(rules)).select("_row.*")
+    rows = with_ratios(written(text_statistics(docs.select(row, F.col("doc_id").alias("_id"), "text"), "_row", "_id"), "statistics"))
+    rules = learned_rules(rows.drop("_row").withColumnRenamed("_id", "doc_id"), labels, **settings)
+    return rows.where(~base_failed() & ~rejects(rules)).select("_row.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
