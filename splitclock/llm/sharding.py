@@ -189,11 +189,12 @@ def by_source(shards: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: int = 128 << 20) -> Plan:
+def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: int = 128 << 20, every: bool = False) -> Plan:
     """Write ``docs`` to ``path`` as one folder per new shard, with old, size, key, part and slot; returns the plan.
 
     A shard is a number of files of about ``file_bytes``; a document's file follows from its key. Shards that neither gain
-    nor lose documents are not written: their old files stay what they are. Columns of ``docs`` with the names of added
+    nor lose documents are not written: their old files stay what they are. ``every`` writes them too, for a layout before that
+    has no files. Columns of ``docs`` with the names of added
     ones are written as ``<name>_doc``.
     """
     added = ("old", "size", "key", "part", "slot", "shard", "inside", "before")
@@ -204,7 +205,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: in
     given = meta.withColumn("shard", found.shard())
     totals = {r["shard"]: (r["bytes"], r["moved"]) for r in given.groupBy("shard").agg(F.sum("size").alias("bytes"), F.sum((F.col("old") != F.col("shard")).cast("int")).alias("moved")).collect()}
     lost = {r["old"] for r in given.where("old <> shard").select("old").distinct().collect()}
-    affected = sorted(s for s, (_, moved) in totals.items() if moved or s in lost)
+    affected = sorted(s for s, (_, moved) in totals.items() if every or moved or s in lost)
     files = max([1, *(-(-b // file_bytes) for b, _ in totals.values())])
     part = F.pmod(F.xxhash64("key"), F.lit(files)).cast("int")
     before = F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
@@ -220,7 +221,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str, file_bytes: in
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     path = scratch_path(spark, "shards")
-    reshard(docs, by_source(16), 24, path)
+    reshard(docs, by_source(16), 24, path, every=True)  # the layout before is a formula: no old files hold what stays
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     files = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
     return files.select(

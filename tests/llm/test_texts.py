@@ -139,6 +139,21 @@ def test_sharding_edges(spark, tmp_path):
     assert spark.read.schema("doc_id long, shard int").parquet(str(tmp_path / "d")).count() == 0
 
 
+def test_sharding_query_returns_shards_that_stay(spark, tmp_path):
+    names = [f"s{k}" for k in range(200)]
+    at = {r.source: r.at for r in spark.createDataFrame([(n,) for n in names], "source string").withColumn("at", sharding.by_source(16)).collect()}
+    # One text lies around the middle of all bytes, so for some shard between 9 and 14 it stays where it is.
+    stayed = 0
+    for old in range(9, 15):
+        source = next(n for n in names if at[n] == old)
+        sf_dir = tmp_path / f"one{old}"
+        documents(spark, [(1, "some text", "en", source, 9)]).write.parquet(str(sf_dir / "documents.parquet"))
+        rows = sharding.sharding_query(spark, str(sf_dir)).collect()
+        assert [(r.doc_id, r.size, r.slot) for r in rows] == [(1, 17, 0)]
+        stayed += rows[0].shard == old
+    assert stayed
+
+
 # 6 -- quality rules
 
 
