@@ -132,7 +132,8 @@ def parse(source: str) -> Page:
             continue
         at = m.end()
         close, name, rest = m.group(1), m.group(2).lower(), m.group(3)
-        page.items.append(name)
+        if not (top.dropped and top.inside):  # a dropped element inside the article is one tag
+            page.items.append(name)
         block += name in BLOCKS
         if close:
             if opened[name] > 0:
@@ -175,7 +176,9 @@ class Weights:
     def score(self, item: Text | str) -> float:
         if isinstance(item, str):
             return self.tags.get(item, self.tag)
-        return -3.0 * item.words if item.dropped else self.word(item.around) * item.words
+        if item.dropped:
+            return 0.0 if item.inside else -3.0 * item.words
+        return self.word(item.around) * item.words
 
 
 def learned(pages: list[str]) -> Weights:

@@ -436,3 +436,11 @@ def test_best_region_equals_all_regions():
         best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
         lo, hi = html_main.best_region(scores)
         assert abs(sum(scores[lo:hi]) - best) < 1e-9
+
+
+def test_a_box_inside_an_article_costs_no_text():
+    lead, rest = " ".join(["lead"] * 30), " ".join(["rest"] * 20)
+    for box in ("<aside>" + "box " * 40 + "</aside>", "<div class='advert'><ul>" + "<li><a href='x'>box box</a></li>" * 40 + "</ul></div>", "<nav>" + "<p>box</p>" * 99 + "</nav>"):
+        source = f"<body><nav>{'menu ' * 50}</nav><article><p>{lead}</p>{box}<p>{rest}</p></article><footer>{'foot ' * 50}</footer></body>"
+        for weights in (html_main.Weights({}, {}), html_main.learned([source])):
+            assert html_main.main_text(source, weights) == f"{lead}\n\n{rest}"
