@@ -7,6 +7,8 @@ from splitclock.llm.embed import ORACLE as EMBEDDING_SQL
 from splitclock.llm.embed import embedding_query
 from splitclock.llm.html_main import html_query
 from splitclock.llm.langid import language_query
+from splitclock.llm.merkle import ORACLE as MERKLE_SQL
+from splitclock.llm.merkle import merkle_query
 from splitclock.llm.packing import packing_query
 from splitclock.llm.pii import pii_query
 from splitclock.llm.quality import quality_query
@@ -25,6 +27,7 @@ QUERIES = {
     "op10_pii": pii_query,
     "op7_packing": packing_query,
     "op8_simhash": simhash_query,
+    "op13_merkle": merkle_query,
 }
 
-ORACLES: dict[str, str] = {"op1_embedding": EMBEDDING_SQL.strip()}
+ORACLES: dict[str, str] = {"op1_embedding": EMBEDDING_SQL.strip(), "op13_merkle": MERKLE_SQL.strip()}
