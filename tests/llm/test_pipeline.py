@@ -12,8 +12,8 @@ from splitclock.llm.common import table, written
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and names["pipeline"] is corpus_pipeline.run
-    assert {"op1_embedding"} <= set(entry.oracle_sql())
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and names["pipeline"] is corpus_pipeline.run
+    assert {"op1_embedding", "op11_trie", "op12_ledger", "op13_merkle"} <= set(entry.oracle_sql())
 
 
 def test_stages_take_effect(spark, tiny):
