@@ -426,13 +426,17 @@ def stream_class_best(spark, d):
     ),
 )
 def stream_momentum(spark, d):
-    rows, _ = feed(spark, d)
+    # A third of the drivers are first sent with a slower time. The micro-batches come in no order: a final time may come first.
     path = scratch_path(spark, "momentum")
+    t = fx.timed_results(spark, d).select("result_id", "rally_id", "stage_id", "stage_number", "driver_id", "car_class", "time_seconds", F.lit(1).alias("revision"))
+    provisional = t.where(F.col("driver_id") % 3 == 0).withColumns({"time_seconds": F.col("time_seconds") * 1.25, "revision": F.lit(0)})
+    t.unionByName(provisional).repartition(10, F.xxhash64("result_id", "revision")).write.parquet(f"{path}/feed")
+    rows = live.stream_results(spark, f"{path}/feed", t.schema, "parquet", 2)
     base = history.recency_weighted_baseline(fx.rated_results(spark, d))
-    live.stream_momentum(rows, f"{path}/seen", base, f"{path}/out", f"{path}/state").awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
-    newest = history.first_per_key(out.drop("batch"), ["driver_id", "rally_id"], [F.col("batch_id") * -1])
-    return rounded(newest.select("driver_id", "rally_id", "rally_avg", "stages_analyzed", "momentum"))
+    live.stream_momentum(rows, stored(base), path, f"{path}/state", "revision").awaitTermination()
+    out = spark.read.parquet(f"{path}/form").drop("batch")
+    newest = out.groupBy("driver_id", "rally_id").agg(F.max_by(F.struct("rally_avg", "stages_analyzed", "momentum"), "batch_id").alias("f"))
+    return rounded(newest.select("driver_id", "rally_id", "f.*"))
 
 
 @query("stream_compare_predict")

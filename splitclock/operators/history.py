@@ -248,6 +248,11 @@ def live_momentum(live: DataFrame, baselines: DataFrame) -> DataFrame:
     return momentum_columns(joined)
 
 
+def trend_of(places: Column, first: Column, last: Column) -> Column:
+    """Better, worse or the same place at the end of ``places`` stages."""
+    return F.when(places < 2, TREND_UNKNOWN).when(last < first, TREND_UP).when(last > first, TREND_DOWN).otherwise(TREND_FLAT)
+
+
 def position_trend(df: DataFrame) -> DataFrame:
     """Last class position against the first of the last three, per (driver, rally)."""
     newest = W.partitionBy("driver_id", "rally_id").orderBy(F.col("stage_number").desc(), F.col("result_id").desc())
@@ -256,11 +261,7 @@ def position_trend(df: DataFrame) -> DataFrame:
     ends = last3.groupBy("driver_id", "rally_id").agg(
         F.min(pos)["class_position"].alias("_last"), F.max(pos)["class_position"].alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    trend = (
-        F.when(F.col("_n") < 2, TREND_UNKNOWN).when(F.col("_last") < F.col("_first"), TREND_UP)
-        .when(F.col("_last") > F.col("_first"), TREND_DOWN).otherwise(TREND_FLAT)
-    )
-    return ends.select("driver_id", "rally_id", trend.alias("position_trend"))
+    return ends.select("driver_id", "rally_id", trend_of(F.col("_n"), F.col("_first"), F.col("_last")).alias("position_trend"))
 
 
 def last_n_history(df: DataFrame, n: int = 15) -> DataFrame:

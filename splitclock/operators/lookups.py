@@ -18,6 +18,7 @@ from splitclock.functions.text import (
     word_set,
 )
 from splitclock.operators.history import first_per_key
+from splitclock.operators.series import block_offsets, log_bucket
 
 ACCEPTED_ERROR_PCT = 15.0
 
@@ -159,29 +160,41 @@ def candidate_key_lookup(requests: DataFrame, lookup: DataFrame, candidates: Col
 def history_reference_pace(requests: DataFrame, results: DataFrame, tolerance: float = 0.15) -> DataFrame:
     """Leader pace on stages of like class, surface and length (within ``tolerance``), with fixed-speed fallback.
 
-    Results shrink to one row per (class, surface, stage, length) first. Lengths then meet requests through
-    logarithmic bands no wider than the tolerance span, so the range test only filters equi-join output.
+    The lengths of a (class, surface) are sorted once, and a request is two places in that order: running totals at its longest
+    length less those before its shortest give sum and count. So do the different stages: those that begin by the longest length,
+    less those that end before the shortest, less those that have lengths on both sides of the span and none inside. The work
+    follows the lengths and the requests, not their pairs; totals are decimals, so that differences are exact.
     """
-    per_stage = results.where((F.col("time_seconds") > 0) & (F.col("stage_length_km") > 0)).groupBy("stage_id", "car_class")
-    best = per_stage.agg(F.min("time_seconds").alias("_best"))
-    lengths = (
-        results.where((F.col("stage_length_km") > 0) & F.col("time_seconds").isNotNull())
-        .groupBy("stage_id", "car_class", "surface", "stage_length_km")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    pace = lengths.join(best, ["stage_id", "car_class"]).withColumn("_pace", F.col("_best") / F.col("stage_length_km"))
-    step = 0.3
-    band = lambda c: F.floor(F.ln(c) / step).cast("int")
-    pace = pace.select(
-        "car_class", "surface", "stage_id", F.col("stage_length_km").alias("_km"), "_n", "_pace", band(F.col("stage_length_km")).alias("_band")
-    )
-    want = requests.select("car_class", "surface", "stage_length_km").where("stage_length_km > 0").distinct()
-    low, high = F.col("stage_length_km") * (1 - tolerance), F.col("stage_length_km") * (1 + tolerance)
-    want = want.withColumn("_band", F.explode(F.sequence(band(low), band(high))))
-    near = want.join(pace, ["car_class", "surface", "_band"]).where(F.col("_km").between(low, high))
-    found = near.groupBy("car_class", "surface", "stage_length_km").agg(
-        (F.sum(F.col("_pace") * F.col("_n")) / F.sum("_n")).alias("seconds_per_km"), F.countDistinct("stage_id").alias("stage_count")
-    )
+    timed = results.where((F.col("stage_length_km") > 0) & F.col("time_seconds").isNotNull() & F.col("car_class").isNotNull() & F.col("surface").isNotNull())
+    best = timed.where("time_seconds > 0").groupBy("stage_id", "car_class").agg(F.min("time_seconds").alias("_best"))
+    lengths = timed.groupBy("stage_id", "car_class", "surface", F.col("stage_length_km").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    pace = lengths.join(best, ["stage_id", "car_class"]).withColumn("_sum", (F.col("_best") / F.col("_x") * F.col("_n")).cast("decimal(28,9)"))
+    of_stage = W.partitionBy("stage_id", "car_class", "surface").orderBy("_x")
+    pace = pace.withColumns({"_next": F.lead("_x").over(of_stage), "_before": F.lag("_x").over(of_stage)})
+    # A gap between two lengths of a stage that can hold a whole span. Spans of equal limits, but for rounding, are no such gaps.
+    gap = F.coalesce(F.col("_next") > F.col("_x") * ((1 + tolerance) / (1 - tolerance) * (1 + 1e-12)), F.lit(False))
+    marks = {"_first": F.col("_before").isNull(), "_last": F.col("_next").isNull(), "_opens": gap}
+    pace = pace.withColumns({n: c.cast("bigint") for n, c in marks.items()})
+    totals = ["_sum", "_n", "_first", "_last", "_opens", "_closes"]
+    keys = ["car_class", "surface"]
+    zero = lambda c: F.lit(0).cast("decimal(28,9)" if c == "_sum" else "bigint").alias(c)
+    opened = pace.select(*keys, "_x", *totals[:-1], zero("_closes"))
+    closed = pace.where("_opens = 1").select(*keys, F.col("_next").alias("_x"), *[zero(c) for c in totals[:-1]], F.lit(1).cast("bigint").alias("_closes"))
+    points = opened.unionAll(closed).groupBy(*keys, "_x").agg(*[F.sum(c).cast("decimal(28,9)" if c == "_sum" else "bigint").alias(c) for c in totals])
+    want = requests.select(*keys, "stage_length_km").where("stage_length_km > 0 AND car_class IS NOT NULL AND surface IS NOT NULL").distinct()
+    asked = F.array(*[F.struct((F.col("stage_length_km") * (1 + sign * tolerance)).alias("_x"), F.lit(side).alias("_side")) for sign, side in ((-1, 0), (1, 2))])
+    asked = want.select(*keys, "stage_length_km", F.explode(asked).alias("a")).select(*keys, "stage_length_km", "a.*", *[zero(c) for c in totals])
+    line = points.select(*keys, F.lit(None).cast("double").alias("stage_length_km"), "_x", F.lit(1).alias("_side"), *totals).unionAll(asked)
+    # Shortest lengths stand before equal points, longest ones behind them. Blocks along the line bound the windows.
+    line = line.withColumn("_block", log_bucket(F.col("_x")))
+    carry = block_offsets(line, keys, ["_block"], {f"_c{c}": F.sum(c) for c in totals}).drop("_before")
+    inside = W.partitionBy(*keys, "_block").orderBy("_x", "_side").rowsBetween(W.unboundedPreceding, 0)
+    line = line.withColumns({f"_i{c}": F.sum(c).over(inside) for c in totals}).where("_side <> 1").join(carry, [*keys, "_block"])
+    at = {c: F.col(f"_i{c}") + F.coalesce(f"_c{c}", F.lit(0)) for c in totals}
+    low, high = (lambda c, side=side: F.max(F.when(F.col("_side") == side, at[c])) for side in (0, 2))
+    count, stages = high("_n") - low("_n"), high("_first") - low("_last") - (low("_opens") - high("_closes"))
+    found = line.groupBy(*keys, "stage_length_km").agg((high("_sum") - low("_sum")).cast("double").alias("_total"), count.alias("_count"), stages.alias("stage_count"))
+    found = found.select(*keys, "stage_length_km", F.when(F.col("_count") > 0, F.col("_total") / F.col("_count")).alias("seconds_per_km"), "stage_count")
     out = requests.join(found, ["car_class", "surface", "stage_length_km"], "left")
     fallback = 3600.0 / F.when(F.col("surface") == "asphalt", 80.0).otherwise(70.0)
     return out.withColumns(

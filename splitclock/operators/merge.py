@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from splitclock.functions.text import build_driver_id, build_stage_id, clean_tex
 from splitclock.operators.facts import class_position
 from splitclock.operators.series import group_stats
 from splitclock.schemas import STAGE_RESULTS, align
-from splitclock.session import cut
+from splitclock.session import cut, stored
 
 # The fields whose difference makes an incoming row a conflict.
 COMPARE_FIELDS = [
@@ -136,12 +136,16 @@ def merge_results(master: DataFrame, incoming: DataFrame, run_id: str, order: st
     merged = master.unionByName(inserted, allowMissingColumns=True)
     if recompute:
         merged = recompute_derived(merged)
+    conflicts, log = _reports(labelled, run_id)
+    return Merge(merged, conflicts, log, labelled)
+
+
+def _reports(labelled: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
     conflicts = labelled.where("outcome = 'conflict'").select(
         F.lit("stage_results").alias("entity_type"), F.col("result_id").alias("entity_key"), F.lit("result_id_payload_mismatch").alias("conflict_type"),
         "master_payload", "incoming_payload", "diff",
     )
-    log = merge_counts(labelled, run_id, "results_merge")
-    return Merge(merged, conflicts, log, labelled)
+    return conflicts, merge_counts(labelled, run_id, "results_merge")
 
 
 def merge_counts(labelled: DataFrame, run_id: str, scope: str) -> DataFrame:
@@ -153,16 +157,23 @@ def merge_counts(labelled: DataFrame, run_id: str, scope: str) -> DataFrame:
     )
 
 
+def group_keys() -> dict[str, Column]:
+    """The stage and the class whose rows share a leader, from a row's own columns."""
+    return {
+        "stage_id": build_stage_id(F.col("rally_id"), F.col("stage_number")),
+        "normalized_class": F.when(F.coalesce("car_class", F.lit("")) == "", "Unknown").otherwise(normalize_class(F.col("car_class"))),
+    }
+
+
+def rederived(df: DataFrame) -> DataFrame:
+    """Class, driver, stage and status of every row, from the row alone."""
+    raw = F.coalesce("raw_driver_name", "driver_name")
+    return df.drop(*DERIVED).withColumns({**group_keys(), "raw_driver_name": raw, "driver_id": build_driver_id(raw), "status": F.coalesce("status", F.lit("FINISHED"))})
+
+
 def recompute_derived(df: DataFrame) -> DataFrame:
     """Class, driver, stage, ratio and position for every row; untimed rows keep NULL ratio and position."""
-    raw = F.coalesce("raw_driver_name", "driver_name")
-    base = df.drop(*DERIVED).withColumns(
-        {
-            "normalized_class": F.when(F.coalesce("car_class", F.lit("")) == "", "Unknown").otherwise(normalize_class(F.col("car_class"))),
-            "raw_driver_name": raw, "driver_id": build_driver_id(raw), "stage_id": build_stage_id(F.col("rally_id"), F.col("stage_number")),
-            "status": F.coalesce("status", F.lit("FINISHED")),
-        }
-    )
+    base = rederived(df)
     keys = ("stage_id", "normalized_class")
     best = group_stats(base, keys, {"_best": F.min("time_seconds")}, where=F.col("time_seconds") > 0)
     timed = F.col("time_seconds") > 0
@@ -171,6 +182,79 @@ def recompute_derived(df: DataFrame) -> DataFrame:
     return rated.join(places, "result_id", "left")
 
 
+GROUP = ("stage_id", "normalized_class")
+#: The folders of a stored result table. A table keeps the number it was made with.
+PARTS = 256
+
+
+def _home(result_id: Column) -> Column:
+    """The rally that an id names: what stands before its first ``_ss``. Rows of another rally are strays."""
+    return F.substring_index(result_id, "_ss", 1)
+
+
+def _part(home: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(home, F.lit(""))), F.lit(parts)).cast("int")
+
+
+def _strays(df: DataFrame) -> DataFrame:
+    """(rally_id, home) of rows that do not lie in the folder of their own rally."""
+    rally = F.coalesce("rally_id", F.lit(""))
+    return df.select(rally.alias("rally"), _home(F.col("result_id")).alias("home")).where("rally <> home").distinct()
+
+
+def store_results(df: DataFrame, root: str, parts: int = PARTS) -> None:
+    """Store a canonical result table below ``root`` for `merge_stored`: derived columns included, in folders by a hash of the rally
+    that the ids name. A large folder is many files, written by many tasks."""
+    full = align(recompute_derived(df), STAGE_RESULTS).withColumn("part", _part(_home(F.col("result_id")), parts))
+    full.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(f"{root}/results")
+    _strays(df).write.mode("overwrite").parquet(f"{root}/strays")
+
+
+def stored_results(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*STAGE_RESULTS.fields, T.StructField("part", T.IntegerType())])).parquet(f"{root}/results")
+
+
+def merge_stored(spark: SparkSession, root: str, incoming: DataFrame, run_id: str, order: str = "seq", parts: int = PARTS) -> Merge:
+    """`merge_results` with ``recompute`` on a stored table, in place: the work follows the batch and not the table.
+
+    Read are the folders of the rallies that the batch's ids or rows name. Derived anew are the (stage, class) groups that got a
+    row. Written are the folders that hold a row of such a group; their new content is stored beside the table first, so that a
+    replacement that broke off can be done again. A batch sent twice changes nothing the second time.
+
+    ``merged`` has the rows of the replaced folders.
+    """
+    canonical = stored(canonicalize_results(incoming, run_id, extra=(order,)))
+    home = _home(F.col("result_id"))
+    strays = spark.read.schema("rally string, home string").parquet(f"{root}/strays")
+    rallies = canonical.select(F.coalesce("rally_id", F.lit("")).alias("rally")).distinct()
+    names = rallies.select(F.col("rally").alias("home")).unionAll(canonical.select(home.alias("home"))).unionAll(strays.join(rallies, "rally").select("home"))
+    touched = names.select(_part(F.col("home"), parts).alias("part")).distinct()
+    read = _in_parts(stored_results(spark, root), touched)
+    labelled = cut(classify_incoming(read.drop("part"), canonical, order))
+    inserted = align(labelled.where("outcome = 'insert'").select("i.*"), STAGE_RESULTS)
+    # Rows of a group that got a row, old and new, are derived anew; the other rows of their folders are copied.
+    groups = rederived(inserted).select(*GROUP).distinct()
+    rows = read.drop("part").unionByName(inserted)
+    again = groups.select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.lit(True).alias("_again"))
+    in_group = [own.eqNullSafe(F.col(f"_{c}")) for c, own in group_keys().items()]
+    keyed = rows.join(again, in_group, "left").drop(*[f"_{c}" for c in GROUP]).withColumn("_part", _part(home, parts))
+    written = keyed.where("_again").select(F.col("_part").alias("part")).distinct()
+    again = align(recompute_derived(keyed.where("_again").drop("_again", "_part")), STAGE_RESULTS)
+    same = keyed.where("_again IS NULL").join(written, F.col("_part") == F.col("part"), "left_semi").drop("_again", "_part")
+    fresh = again.unionByName(align(same, STAGE_RESULTS)).withColumn("part", _part(home, parts))
+    fresh = stored(fresh)
+    fresh.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{root}/results")
+    _strays(inserted).write.mode("append").parquet(f"{root}/strays")
+    conflicts, log = _reports(labelled, run_id)
+    return Merge(fresh.drop("part"), conflicts, log, labelled)
+
+
+def _in_parts(table: DataFrame, touched: DataFrame) -> DataFrame:
+    """The rows of some folders. There are no more folders than the table was made with, so they are named in the scan, and the
+    others' files are not opened."""
+    return table.where(F.col("part").isin([r["part"] for r in touched.collect()]))
+
+
 def append_new(master: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose key the master does not have (one per key, the first along ``order``), and the counts."""
     from splitclock.operators.history import first_per_key

@@ -117,3 +117,72 @@ def test_row_without_stage_is_skipped(spark):
     bad = spark.createDataFrame([(None, None, 5.0)], "stage_id STRING, rally_id STRING, distance_km DOUBLE")
     m = geometry.merge_geometry(spark.createDataFrame([], STAGE_GEOMETRY), bad, "x")
     assert m.log.first()["skipped_rows"] == 1 and m.merged.count() == 0
+
+
+RESULTS = "result_id string, rally_id string, rally_name string, stage_number int, stage_name string, driver_name string, car_class string, time_seconds double, seq int"
+
+
+def results(rallies, drivers, seq=1, extra=0.0):
+    return [
+        (f"{r}_ss{s}_{d}", r, f"Rally {r}", s, f"SS{s}", f"Driver {d}", ["R2", "N", ""][d % 3], 500.0 + 13 * ((d * 7 + s) % 11) + extra, seq)
+        for r in rallies for s in (1, 2) for d in drivers
+    ]
+
+
+DERIVED = ["result_id", "stage_id", "normalized_class", "driver_id", "status", "time_seconds", "ratio_to_class_best", "class_position"]
+
+
+def shown(df):
+    return sorted(tuple(r) for r in df.select(*DERIVED).collect())
+
+
+def test_merge_of_a_small_batch_equals_the_full_one(spark, tmp_path):
+    root = str(tmp_path / "table")
+    old = results([f"r{k}" for k in range(12)], range(6))
+    stray = ("r3_ss1_99", "r5", "Rally r5", 1, "SS1", "Driver 99", "R2", 490.0, 1)  # its id names another rally
+    new = results(["r5", "r99"], [6, 7]) + [(*r[:7], r[7] + 1.0, 2) for r in results(["r7"], [1])] + results(["r8"], [2]) + [stray]
+    frame = lambda rows: spark.createDataFrame(rows, RESULTS)
+    base = merge.canonicalize_results(frame(old), "seed")
+    merge.store_results(base, root, parts=16)
+    full = merge.merge_results(base, frame(new), "run1")
+    part = merge.merge_stored(spark, root, frame(new), "run1", parts=16)
+    assert part.log.first() == full.log.first()
+    assert shown(merge.stored_results(spark, root)) == shown(full.merged)
+    assert sorted(r.entity_key for r in part.conflicts.collect()) == sorted(r.entity_key for r in full.conflicts.collect())
+    # Another leader for r5's first stage reaches the stray row in the folder of r3.
+    lead = [("r5_ss1_50", "r5", "Rally r5", 1, "SS1", "Driver 50", "R2", 400.0, 1)]
+    merge.merge_stored(spark, root, frame(lead), "run2", parts=16)
+    assert shown(merge.stored_results(spark, root)) == shown(merge.merge_results(full.merged, frame(lead), "run2").merged)
+    before = shown(merge.stored_results(spark, root))
+    again = merge.merge_stored(spark, root, frame(lead + new), "run3", parts=16)
+    assert again.log.first()["inserted_rows"] == 0 and shown(merge.stored_results(spark, root)) == before
+
+
+def test_merge_reads_and_writes_only_touched_folders(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = spark.createDataFrame(results([f"r{k}" for k in range(20)], range(5)), RESULTS)
+    merge.store_results(merge.canonicalize_results(rows, "seed"), root, parts=64)
+    touched = merge.stored_results(spark, root).where("rally_id = 'r4'").select("part").distinct().collect()
+    assert len(touched) == 1
+    mine = f"part={touched[0].part}"
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "table" / "results").rglob("*.parquet")}
+    for p in files:
+        if p.parent.name != mine:
+            p.write_bytes(b"not to be read")
+            files[p] = p.stat().st_mtime_ns
+    batch = spark.createDataFrame(results(["r4"], [8]), RESULTS)
+    log = merge.merge_stored(spark, root, batch, "run", parts=64).log.first()
+    assert log["inserted_rows"] == 2
+    left = {p: p.stat().st_mtime_ns for p in (tmp_path / "table" / "results").rglob("*.parquet")}
+    others = {p: t for p, t in files.items() if p.parent.name != mine}
+    assert {p: t for p, t in left.items() if p.parent.name != mine} == others
+    assert not set(left) - set(others) & set(files)
+
+
+def test_empty_batch_and_empty_table(spark, tmp_path):
+    root = str(tmp_path / "table")
+    none = spark.createDataFrame([], RESULTS)
+    merge.store_results(merge.canonicalize_results(none, "seed"), root)
+    assert merge.merge_stored(spark, root, none, "a").log.first()["incoming_rows"] == 0
+    assert merge.merge_stored(spark, root, spark.createDataFrame(results([None, "r1"], [1]), RESULTS), "b").log.first()["inserted_rows"] == 4
+    assert merge.stored_results(spark, root).count() == 4

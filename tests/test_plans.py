@@ -117,3 +117,34 @@ def test_resolve_driver_cascade(spark):
     asked = spark.createDataFrame([(1, "d2", None), (2, None, "A. Veli"), (3, None, "ALİ VELİ"), (4, None, "Yeni Biri"), (5, None, None)], "q INT, driver_id STRING, driver_name STRING")
     got = {r["q"]: (r["driver_id"], r["resolved"]) for r in lookups.resolve_driver(asked, drivers, aliases).collect()}
     assert got == {1: ("d2", True), 2: ("d1", True), 3: ("d1", True), 4: ("drv_yeni-biri", False), 5: ("drv_unknown-driver", False)}
+
+
+def test_reference_pace_equals_all_pairs(spark):
+    """Stages with several lengths, gaps wider than a span, equal lengths, and spans whose limits are lengths."""
+    rng = random.Random(11)
+    lengths = [8.5, 10.0, 11.5, 12.0, 17.0, 20.0, 23.0, 23.5, 40.0]
+    rows = []
+    for stage in range(40):
+        own = rng.sample(lengths, rng.choice([1, 1, 2, 3]))
+        for driver in range(6):
+            rows.append((f"s{stage}", ["A", "B", None][stage % 3], ["gravel", "asphalt"][stage % 2], rng.choice(own), rng.choice([None, 0.0, 400.0 + rng.randrange(900) / 7])))
+    results = spark.createDataFrame(rows, "stage_id string, car_class string, surface string, stage_length_km double, time_seconds double")
+    asked = [(c, s, km) for c in ("A", "B", "C", None) for s in ("gravel", "asphalt", None) for km in (*lengths, 14.0, 30.0, 1.0, 0.0)]
+    requests = spark.createDataFrame([*asked, asked[0]], "car_class string, surface string, stage_length_km double")
+    best = {}
+    for stage, cls, _, _, t in rows:
+        if t:
+            best[stage, cls] = min(t, best.get((stage, cls), t))
+    got = {(r.car_class, r.surface, r.stage_length_km): r for r in lookups.history_reference_pace(requests, results).collect()}
+    assert len(got) == len(asked)
+    some = 0
+    for cls, surface, km in asked:
+        near = [(best[s, c] / x, s) for s, c, f, x, t in rows if t is not None and c is not None and (c, f) == (cls, surface) and (s, c) in best and km * 0.85 <= x <= km * 1.15 and km > 0]
+        r = got[cls, surface, km]
+        assert r.stage_count == len({s for _, s in near}), (cls, surface, km)
+        if near:
+            some += 1
+            assert r.seconds_per_km == pytest.approx(sum(p for p, _ in near) / len(near), rel=1e-9)
+        else:
+            assert r.seconds_per_km is None
+    assert some > 30
