@@ -3,15 +3,19 @@
 Old shards hold bytes, new shards have capacities, and keeping a byte in its shard is free while moving it costs one. The
 cheapest flow on that small graph says how many bytes each old shard sends to each new one. Documents follow it:
 
-* documents of an old shard are ordered by a hash of their own, and each target takes a block of that order, cut at
-  hash values. A document finds its shard from its own columns, without a join, and again in a later run;
+* documents of an old shard are ordered by a key of their own, and each target takes a block of that order, cut at keys. The
+  high bits of a key are a hash of the row, the low ones are drawn with a fixed seed: a third of all rows may be equal and still
+  are cut, and dealt to files, like any others. A document finds its shard from its key, without a join. The documents are read
+  twice and must come alike each time, as those of a stored table do;
 * cut values come from byte sums over hash ranges, refined ten bits at a time around the cuts only; what the driver sees
   has a fixed size. A cut falls before or after the document at it, whichever is nearer;
 * the largest documents are dealt first and the smallest last, each tier making up for what the one before missed, so that
   shards end within about the size of a small document of their capacity;
 * texts are shuffled once, to the files of the shards that gain or lose documents.
 
-Cases: NULL is the empty text and counts 8 bytes; a NULL source is the empty source; repeated rows go to one shard; an empty
+Equal texts are not kept together: of the three laws only one that places by document groups them, and this is ``bytes``.
+
+Cases: NULL is the empty text and counts 8 bytes; a NULL source is the empty source; repeated rows may lie in several shards; an empty
 table gives no rows; a NULL doc_id is a value like any other; further columns are carried into the files.
 """
 
@@ -28,6 +32,8 @@ from splitclock.llm.common import table, written
 from splitclock.session import scratch_path
 
 KEY_BITS = 60
+#: Of these, the bits that tell equal rows apart, and the seed they are drawn with.
+LOW_BITS, SEED = 20, 5
 STEP = 10
 #: Shares of all bytes, from the largest documents on, at which tiers end.
 TIERS = (0.7, 0.95)
@@ -178,9 +184,11 @@ def plan(meta: DataFrame, shards: int) -> Plan:
 
 
 def placed(docs: DataFrame, old: Column) -> DataFrame:
-    """``docs`` with old, size and key."""
+    """``docs`` with old, size and key: a hash of the row, and low bits of its own, so that a cut may also lie between equal rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - KEY_BITS)
+    high = F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - KEY_BITS)
+    low = F.floor(F.rand(SEED) * (1 << LOW_BITS)).cast("bigint")
+    key = F.shiftleft(F.shiftrightunsigned(high, LOW_BITS), LOW_BITS).bitwiseOR(low)
     return docs.withColumns({"old": old, "size": F.octet_length(text).cast("bigint") + 8, "key": key})
 
 
