@@ -17,13 +17,13 @@ out; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from splitclock.llm.common import column, table, texts
 
 PIECE = 1024
 BLOCK = 1 << 21
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def suffix_automaton(text: list[int], letters: int) -> np.ndarray:
@@ -77,10 +77,8 @@ class Model:
         counts = Counter(c for ts in lowered.values() for t in ts for c in t if c.isalpha())
         chosen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:alphabet]]
         self.letters = len(chosen) + 2
-        self.classes = np.zeros(0x110000, np.uint8)  # 0: no letter
-        for c in range(0x3000):
-            self.classes[c] = chr(c).isalpha()
-        self.classes[0x3000:] = 1
+        # 0: no letter, 1: a letter (category L)
+        self.classes = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
         for k, c in enumerate(chosen):
             self.classes[ord(c)] = k + 2
         self.tables, self.sizes = [], []
