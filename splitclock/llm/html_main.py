@@ -1,8 +1,10 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page is a sequence of tags and texts. Tags score below zero, the words of a text above or below zero according to the elements
-they stand in, and one linear scan finds the contiguous region with the greatest sum. Inside the region, elements that are
-never article text (scripts, forms, menus and the like, by name or class) and texts that score below zero are left out.
+they stand in, and one linear scan finds the contiguous region with the greatest sum. Inside the region, scripts and the like,
+boxes (forms, menus, notices and the like, by name or by a whole class or id) and texts that score below zero are left out. No
+list decides alone: a box around an article or around most words of the page stays, as does a header inside an article; and an
+article's words are scored by what stands inside the article, not by the classes of its wrappers.
 
 Weights come from labelled pages, a bounded sample (``sample`` groups of a hash, one page of up to ``longest`` bytes each): pages
 whose markup names its article with one ``article`` or ``main`` element. For words, every element name and class around them has
@@ -23,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +40,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template svg iframe textarea select option math object title".split())
+RAW = frozenset("script style noscript template svg iframe textarea select option object title".split())
 DROPPED = frozenset("nav header footer aside form button head menu dialog".split()) | RAW
-#: Class and id words of what is no article.
+#: Whole classes and ids of what is no article.
 NOTICE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead "
     "menu modal nav navbar navigation newsletter notice popup promo promoted recommended related replies respond share sharing sidebar social sponsor sponsored subscribe widget".split()
@@ -49,7 +52,6 @@ LABELS = frozenset(("article", "main"))
 _FRAME = frozenset(("html", "body")) | LABELS
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _MARK = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_WORD = re.compile(r"[a-z0-9]+")
 _START = re.compile(r"</?[a-zA-Z]")
 _SIMPLE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _RAW_END = {name: re.compile(f"(?i)</{name}") for name in RAW}
@@ -59,14 +61,15 @@ LEVELS = 12
 
 @dataclass(frozen=True)
 class _Open:
-    """An open element: its name, its names and classes, whether it or one around it is dropped or a label, and the place of
-    the open paragraph that a new block would close."""
+    """An open element: its name, its names and classes (a label has none), whether it or one around it is raw or a label, the
+    place of the open paragraph that a new block would close, and the number of the box it is, if it is one."""
 
     name: str
     names: frozenset[str]
-    dropped: bool
+    raw: bool
     inside: bool
     paragraph: int
+    box: int = -1
 
 
 @dataclass
@@ -83,12 +86,42 @@ class Text:
 
 @dataclass
 class Page:
-    """The sequence of a page: a `Text`, or the name of a tag."""
+    """The sequence of a page: a `Text`, or the name of a tag, with a dot before it inside a label, where tags cost nothing."""
 
     items: list[Text | str] = field(default_factory=list)
     labelled: int = 0
 
 
+def _drop_boxes(page: Page, boxes: list[list[int]], labels: list[int]) -> None:
+    """Drop the boxes: elements whose name, class or id says that they are no article.
+
+    A box [first, end) around an article, or around most words of the page, is a frame of the page and stays; it is not judged by
+    its name alone. The tags of a dropped box inside an article have no score, but for the first.
+    """
+    words, tags = [0], []
+    for item in page.items:
+        words.append(words[-1] + (0 if isinstance(item, str) or item.dropped else item.words))
+    drop, quiet = [0] * (len(page.items) + 1), [0] * (len(page.items) + 1)
+    for first, end, inside in boxes:
+        k = bisect_left(labels, first)
+        if (k < len(labels) and labels[k] < end) or 2 * (words[end] - words[first]) > words[-1]:
+            continue
+        drop[first] += 1
+        drop[end] -= 1
+        if inside and end > first:
+            quiet[min(first + 1, end)] += 1
+            quiet[end] -= 1
+    dropped = silent = 0
+    for k, item in enumerate(page.items):
+        dropped, silent = dropped + drop[k], silent + quiet[k]
+        if isinstance(item, str):
+            tags.append("" if silent else item)
+        else:
+            item.dropped = item.dropped or dropped > 0
+            tags.append(item)
+    page.items = tags
+
+
 def parse(source: str) -> Page:
     """The sequence of a page. Every character is looked at a bounded number of times."""
     page, at, block, n = Page(), 0, 0, len(source)
@@ -96,17 +129,31 @@ def parse(source: str) -> Page:
     opened: Counter[str] = Counter()
     top = _Open("", frozenset(), False, False, -1)
     around, quoted = frozenset(), True
+    boxes: list[list[int]] = []
+    labels: list[int] = []
 
     def put(text: str) -> None:
         if text:
-            page.items.append(Text(text, len(text.split()), around, block, top.dropped, top.inside))
+            page.items.append(Text(text, len(text.split()), around, block, top.raw, top.inside))
+
+    def names_around() -> frozenset[str]:
+        """The names of the last elements, up to the article: what an article stands in says nothing of its words."""
+        found: set[str] = set()
+        for x in reversed(stack[-LEVELS:]):
+            if x.name in LABELS:
+                break
+            found |= x.names
+        return frozenset(found)
 
     def cut(k: int) -> None:
         nonlocal top, around
         opened.subtract(x.name for x in stack[k:])
+        for x in stack[k:]:
+            if x.box >= 0:
+                boxes[x.box][1] = len(page.items)
         del stack[k:]
         top = stack[-1] if stack else _Open("", frozenset(), False, False, -1)
-        around = frozenset().union(*(x.names for x in stack[-LEVELS:]))
+        around = names_around()
 
     while at < n:
         lt = source.find("<", at)
@@ -132,8 +179,8 @@ def parse(source: str) -> Page:
             continue
         at = m.end()
         close, name, rest = m.group(1), m.group(2).lower(), m.group(3)
-        if not (top.dropped and top.inside):  # a dropped element inside the article is one tag
-            page.items.append(name)
+        if not (top.raw and top.inside):
+            page.items.append("." + name if top.inside else name)
         block += name in BLOCKS
         if close:
             if opened[name] > 0:
@@ -145,19 +192,26 @@ def parse(source: str) -> Page:
             continue
         if name in BLOCKS and top.paragraph >= 0:
             cut(top.paragraph)
-        marks = frozenset(w for a in _MARK.finditer(rest) for w in _WORD.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())) if rest else frozenset()
-        page.labelled += name in LABELS
+        marks = frozenset(w for a in _MARK.finditer(rest) for w in (a.group(1) or a.group(2) or a.group(3) or "").lower().split()) if rest else frozenset()
         frame = name in _FRAME
+        if name in LABELS:
+            page.labelled += 1
+            labels.append(len(page.items) - 1)
         names = frozenset() if frame else frozenset((name, *("." + w for w in marks)))
-        dropped = top.dropped or not frame and (name in DROPPED or not marks.isdisjoint(NOTICE_WORDS))
+        box = -1
+        if not frame and name not in RAW and not (name == "header" and top.inside) and (name in DROPPED or not marks.isdisjoint(NOTICE_WORDS)):
+            box = len(boxes)
+            boxes.append([max(len(page.items) - 1, 0), -1, top.inside])
         paragraph = len(stack) if name == "p" else -1 if name in BLOCKS else top.paragraph
-        top = _Open(name, names, dropped, top.inside or name in LABELS, paragraph)
+        top = _Open(name, names, top.raw or name in RAW, top.inside or name in LABELS, paragraph, box)
         stack.append(top)
         opened[name] += 1
-        around = frozenset().union(*(x.names for x in stack[-LEVELS:]))
+        around = names_around()
         if name in RAW:
             end = _RAW_END[name].search(source, at)
             at = end.start() if end else n
+    cut(0)
+    _drop_boxes(page, boxes, labels)
     return page
 
 
@@ -175,7 +229,7 @@ class Weights:
 
     def score(self, item: Text | str) -> float:
         if isinstance(item, str):
-            return self.tags.get(item, self.tag)
+            return 0.0 if not item or item[0] == "." else self.tags.get(item, self.tag)
         if item.dropped:
             return 0.0 if item.inside else -3.0 * item.words
         return self.word(item.around) * item.words
@@ -192,8 +246,9 @@ def learned(pages: list[str]) -> Weights:
         inside = False
         for item in page.items:
             if isinstance(item, str):
-                tag_all[item] += 1
-                tag_in[item] += inside
+                if item:
+                    tag_all[item.lstrip(".")] += 1
+                    tag_in[item.lstrip(".")] += inside
                 continue
             inside = item.inside
             (good if inside else other).update({x: item.words for x in item.around})

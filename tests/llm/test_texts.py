@@ -444,3 +444,38 @@ def test_a_box_inside_an_article_costs_no_text():
         source = f"<body><nav>{'menu ' * 50}</nav><article><p>{lead}</p>{box}<p>{rest}</p></article><footer>{'foot ' * 50}</footer></body>"
         for weights in (html_main.Weights({}, {}), html_main.learned([source])):
             assert html_main.main_text(source, weights) == f"{lead}\n\n{rest}"
+
+
+def test_wrappers_do_not_lose_the_article():
+    words = " ".join(f"w{k}" for k in range(60))
+    labelled = f"<html><body><nav class='menu'>Home About</nav><article><h1>T</h1><p>{words}</p></article><div class='sidebar'>{'x ' * 20}</div><footer>f g</footer></body></html>"
+    for weights in (html_main.Weights({}, {}), html_main.learned([labelled] * 3)):
+        for wrapper in ("layout with-sidebar", "page no-ads", "has-footer", "sidebar", "content comments", "menu"):
+            page = f"<div class='{wrapper}'><article><p>{words}</p></article></div><div class='sidebar'>a b c</div>"
+            assert html_main.main_text(page, weights) == words, wrapper
+        # A form around the whole page, a title in the article's header, and a formula.
+        page = f"<form><nav>menu</nav><article><header><h1>The title</h1></header><p>{words}</p><p>Let <math><mi>x</mi></math> be</p><form>name</form></article></form>"
+        assert html_main.main_text(page, weights) == f"The title\n\n{words}\n\nLet x be"
+    # Without a label element: a box with most of the page's words is no box.
+    page = f"<div class='widget'><p>{words}</p></div><div class='sidebar'>a b c</div>"
+    assert html_main.main_text(page, html_main.Weights({}, {})) == words
+
+
+def test_numbers_and_signs_are_no_letters():
+    texts = ["\u00bd", "\u00b2", "\u2167", "\U0001f600 12", "\u3007", "a\u00bd", "\u65e5"]
+    model = langid.Model({"en": [prose(1, 80)], "xx": ["qqq zzz " * 20]})
+    assert [bool(langid._LETTER.search(t)) for t in texts] == [False] * 5 + [True] * 2
+    assert [int(model.codes(t).max() > 0) for t in ("\u00bd", "\U0001f600", "\u3007", "\u65e5")] == [0, 0, 0, 1]
+
+
+def test_shards_cut_inside_equal_rows(spark, tmp_path):
+    """A third of the rows equal, without an id, from seven sources."""
+    rows = [(k, prose(k, 40), "en", f"s{k % 30}", 1) for k in range(2000)] + [(None, prose(5000, 40), "en", f"s{k % 7}", 1) for k in range(1000)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.sharding_query(spark, str(tmp_path)).collect()
+    held = collections.Counter()
+    for r in out:
+        held[r.shard] += r.size
+    assert len(out) == 3000 and len(held) == 24 and max(held.values()) < 1.05 * min(held.values())
+    for s in held:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
