@@ -85,6 +85,10 @@ class Vocabulary:
                 if len(raw) > 1:
                     del words[raw]
         self.longest = max(map(len, [*self.inner, *self.final]))
+        # How long a token can be that begins with three given bytes.
+        self.reach: dict[bytes, int] = {}
+        for raw in self.inner:
+            self.reach[raw[:3]] = max(len(raw), self.reach.get(raw[:3], 0))
         self.byte_inner = [self.inner[bytes([b])] for b in range(256)]
         self.byte_final = [self.final[bytes([b])] for b in range(256)] if suffix else self.byte_inner
         if not suffix:
@@ -126,15 +130,15 @@ class Vocabulary:
     def proposal(self, word: bytes) -> list[int]:
         """Tokens by greedy longest match."""
         out, at, n = [], 0, len(word)
-        inner, final, longest = self.inner, self.final, self.longest
+        inner, final, longest, reach = self.inner.get, self.final, self.longest, self.reach.get
         while True:
             if n - at <= longest:
                 token = final.get(word[at:])
                 if token is not None:
                     out.append(token)
                     return out
-            for k in range(min(n - at - 1, longest), 0, -1):
-                token = inner.get(word[at : at + k])
+            for k in range(min(n - at - 1, reach(word[at : at + 3], 2)), 0, -1):
+                token = inner(word[at : at + k])
                 if token is not None:
                     break
             out.append(token)
@@ -237,6 +241,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._ascii, self._latin = _word_pattern(0x80), _word_pattern(0x300)
         self._beyond = re.compile("[̀-\U0010ffff]")
         self._library = None
@@ -258,8 +263,8 @@ class Encoder:
 
     def encode(self, block: list[str]) -> Iterator[bytes]:
         """The ids of each text of a block, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if len(self.known) > KNOWN:  # words that are met again come back from the older ones
+            self.known, self.older = {}, self.known
         special = self.vocabulary.special
         split: list[list[tuple[int, list[str]]]] = []
         new: set[str] = set()
@@ -275,6 +280,10 @@ class Encoder:
                     parts.append((-1, words))
             split.append(parts)
         new.difference_update(self.known)
+        if new and self.older:
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
         if new:
             self.known.update(self.vocabulary.encode_words(new))
         known = self.known.__getitem__
