@@ -12,13 +12,14 @@ from splitclock.functions.classes import normalize_class, surface_from_name
 from splitclock.operators import aggregates as ag
 from splitclock.operators import facts, history
 from splitclock.operators import lookups as lk
+from splitclock.sources import tables as sources
 
 # ---- filters ---------------------------------------------------------------------------------------------------
 
 
-@query("read_results", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, round(sum(l_quantity), 4) AS quantity FROM lineitem WHERE l_quantity > 10")
+@query("read_results", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, round(sum(l_quantity), 4) AS quantity FROM lineitem")
 def read_results(spark, d):
-    li = fx.table(spark, d, "lineitem").where(F.col("l_quantity") > 10)
+    li = sources.read_results(spark, f"{d}/lineitem.parquet")
     return rounded(li.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity")), 4)
 
 
@@ -552,9 +553,10 @@ def rank_agreement(spark, d):
 
 
 STEWARD = fx.RATED + """,
-ref AS (SELECT driver_id, rally_id, avg((time_seconds - class_best_time) / stage_length_km) AS dk, avg(time_seconds / class_best_time) AS ar, count(*) AS n FROM rated WHERE stage_number < 8
+final AS (SELECT rally_id, max(stage_number) AS last_stage FROM rated GROUP BY 1),
+ref AS (SELECT driver_id, rally_id, avg((time_seconds - class_best_time) / stage_length_km) AS dk, avg(time_seconds / class_best_time) AS ar, count(*) AS n FROM rated JOIN final USING (rally_id) WHERE stage_number < last_stage
   AND CAST(round(time_seconds * 100) AS BIGINT) % 6000 <> 0 AND CAST(round(class_best_time * 100) AS BIGINT) % 6000 <> 0 GROUP BY 1, 2),
-tgt AS (SELECT driver_id, rally_id, stage_length_km, CASE WHEN CAST(round(class_best_time * 100) AS BIGINT) % 6000 <> 0 THEN class_best_time END AS class_best_time FROM rated WHERE stage_number = 8)
+tgt AS (SELECT driver_id, rally_id, stage_length_km, CASE WHEN CAST(round(class_best_time * 100) AS BIGINT) % 6000 <> 0 THEN class_best_time END AS class_best_time FROM rated JOIN final USING (rally_id) WHERE stage_number = last_stage)
 """
 
 
@@ -562,14 +564,16 @@ tgt AS (SELECT driver_id, rally_id, stage_length_km, CASE WHEN CAST(round(class_
    round(class_best_time + dk * stage_length_km, 8) AS km_based_prediction_seconds, round(class_best_time * ar, 8) AS percentage_prediction_seconds, class_best_time IS NOT NULL AND n IS NOT NULL AND n = 1 AS single_stage_warning
    FROM tgt t LEFT JOIN ref USING (driver_id, rally_id)"""))
 def steward_estimate(spark, d):
+    # Every rally's last stage is the target, all earlier ones are references.
     rated = fx.rated_results(spark, d)
+    rated = rated.join(rated.groupBy("rally_id").agg(F.max("stage_number").alias("last_stage")), "rally_id")
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     as_text = lambda c: F.format_string("%d:%02d.%02d", F.floor(cents(c) / 6000), F.floor(cents(c) / 100) % 60, cents(c) % 100)
     rows = rated.select(
-        F.concat("rally_id", F.lit("_"), "driver_id").alias("request_id"), "stage_number", F.col("stage_length_km").alias("km"),
+        F.concat("rally_id", F.lit("_"), "driver_id").alias("request_id"), (F.col("stage_number") == F.col("last_stage")).alias("last"), F.col("stage_length_km").alias("km"),
         as_text("class_best_time").alias("best_time"), as_text("time_seconds").alias("driver_time"),
     )
-    out = ag.steward_estimate(rows.where("stage_number < 8"), rows.where("stage_number = 8"))
+    out = ag.steward_estimate(rows.where("NOT last"), rows.where("last"))
     out = out.select("request_id", "used_stage_count", "average_diff_per_km", "average_ratio", "km_based_prediction_seconds", "percentage_prediction_seconds", "single_stage_warning")
     return rounded(out, 8)
 

@@ -10,19 +10,15 @@ from pyspark.sql import functions as F
 from splitclock.functions.scoring import clip
 from splitclock.functions.text import numeric_prefix
 from splitclock.functions.times import parse_manual_time
-from splitclock.operators.history import average_rank, usable_ratios
+from splitclock.operators.history import usable_ratios, value_ranks
 from splitclock.operators.series import with_position
+from splitclock.session import stored
 
 
 def _count() -> Column:
     return F.count(F.lit(1))
 
 
-def _corr(a: str, b: str) -> Column:
-    """Correlation of two columns; NULL when one of them is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
-
-
 def surface_profile(df: DataFrame) -> DataFrame:
     """Mean ratio and stage count per (driver, surface) with the driver's overall figures beside them, and the
     adjustment surface mean / overall mean. Overall includes rows without a surface."""
@@ -190,21 +186,43 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
     )
 
 
+def _counted_pairs(df: DataFrame, keys: Sequence[str], actual: Column, predicted: Column) -> DataFrame:
+    """One row for each different (actual, predicted) of a group with its number of rows ``_n``, written once. Rows without one of
+    the two do not count."""
+    rows = df.select(*keys, actual.cast("double").alias("y"), predicted.cast("double").alias("p")).where("y IS NOT NULL AND p IS NOT NULL")
+    return stored(rows.groupBy(*keys, "y", "p").agg(_count().alias("_n")))
+
+
+def _rank_correlation(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _rows, spearman) from counted pairs: the ranks of either value come from its own counts, and the mean rank of n rows
+    is (n + 1) / 2."""
+    ranked = pairs.join(value_ranks(pairs, keys, "y", "ry"), [*keys, "y"]).join(value_ranks(pairs, keys, "p", "rp"), [*keys, "p"])
+    n = F.col("_n").cast("double")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum("_n").alias("_rows"), F.sum(n * F.col("ry") * F.col("rp")).alias("_yp"), F.sum(n * F.col("ry") * F.col("ry")).alias("_yy"), F.sum(n * F.col("rp") * F.col("rp")).alias("_pp")
+    )
+    shift = F.col("_rows") * ((F.col("_rows") + 1) / 2) * ((F.col("_rows") + 1) / 2)
+    own = lambda c: F.when(F.col(c) - shift > 1e-12 * shift, F.col(c) - shift)  # noqa: E731  (constant values have no rank correlation)
+    spread = F.sqrt(own("_yy") * own("_pp"))
+    return sums.select(*keys, "_rows", F.try_divide(F.col("_yp") - shift, spread).alias("spearman"))
+
+
 def regression_metrics(df: DataFrame, actual: str, predicted: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """MAE, MAPE, RMSE, R2, target mean and deviation, and the rank correlation, in one row."""
+    """MAE, MAPE, RMSE, R2, target mean and deviation, and the rank correlation, in one row, over the rows that have both values."""
     p = F.col(predicted)
     if low is not None and high is not None:
         p = clip(p, low, high)
-    rows = df.select(F.col(actual).alias("y"), p.alias("p"))
-    ranked = average_rank(average_rank(rows, [], "y", "ry"), [], "p", "rp")
-    err = F.col("y") - F.col("p")
-    n = _count()
-    out = ranked.agg(
-        n.alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(F.abs(F.try_divide(err, F.col("y")))).alias("mape"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.try_divide(F.avg(err * err), F.var_pop("y"))).alias("r2"), F.avg("y").alias("mean_target"), F.stddev_samp("y").alias("std_target"),
-        _corr("ry", "rp").alias("spearman"),
+    pairs = _counted_pairs(df, [], F.col(actual), p)
+    w, err = F.col("_n"), F.col("y") - F.col("p")
+    n = F.sum(w)
+    mean = lambda c: F.sum(c * w) / F.sum(F.when(c.isNotNull(), w))
+    centre = pairs.agg(mean(F.col("y")).alias("_mean")).scalar()
+    off = (F.col("y") - F.col("_mean")) * (F.col("y") - F.col("_mean"))
+    out = pairs.withColumn("_mean", centre).agg(
+        F.coalesce(n, F.lit(0).cast("bigint")).alias("n"), mean(F.abs(err)).alias("mae"), mean(F.abs(F.try_divide(err, F.col("y")))).alias("mape"), F.sqrt(mean(err * err)).alias("rmse"),
+        (1 - F.try_divide(mean(err * err), mean(off))).alias("r2"), mean(F.col("y")).alias("mean_target"), F.sqrt(F.try_divide(F.sum(off * w), n - 1)).alias("std_target"),
     )
-    return out
+    return out.withColumn("spearman", _rank_correlation(pairs, []).select("spearman").scalar())
 
 
 def metrics_by_class(df: DataFrame, actual: str, predicted: str, key: str = "car_class", least: int = 5) -> DataFrame:
@@ -214,9 +232,8 @@ def metrics_by_class(df: DataFrame, actual: str, predicted: str, key: str = "car
 
 def rank_agreement(df: DataFrame, actual: str, predicted: str, key: str = "stage_id", least: int = 3) -> DataFrame:
     """Mean rank correlation over groups of at least ``least`` rows, and the share above 0.9."""
-    rows = df.select(key, F.col(actual).alias("y"), F.col(predicted).alias("p"))
-    ranked = average_rank(average_rank(rows, [key], "y", "ry"), [key], "p", "rp")
-    per = ranked.groupBy(key).agg(_count().alias("_n"), _corr("ry", "rp").alias("_r")).where(F.col("_n") >= least)
+    ranked = _rank_correlation(_counted_pairs(df, [key], F.col(actual), F.col(predicted)), [key])
+    per = ranked.where(F.col("_rows") >= least).withColumnRenamed("spearman", "_r")
     return per.agg(_count().alias("groups"), F.avg("_r").alias("mean_spearman"), F.avg((F.col("_r") > 0.9).cast("double")).alias("share_above_0_9"))
 
 

@@ -309,15 +309,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Rank with ties at their mean rank, from the running count of distinct values; safe for one large group."""
-    per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+def value_ranks(counts: DataFrame, keys: Sequence[str], value: str, name: str, rows: str = "_n") -> DataFrame:
+    """(keys, value, ``name``): the rank of each value with ties at their mean rank, from counted values; ``rows`` says how many rows
+    a line of ``counts`` stands for. Safe for one large group."""
+    per_value = counts.groupBy(*keys, value).agg(F.sum(rows).alias("_ties"))
     per_value = per_value.withColumn("_bucket", log_bucket(F.col(value)))
     offsets = block_offsets(per_value, keys, ["_bucket"], {"_below": F.sum("_ties")}).drop("_before")
     inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.col("_below"), F.lit(0)) + F.coalesce(F.sum("_ties").over(inside), F.lit(0))
-    ranks = per_value.join(offsets, [*keys, "_bucket"]).withColumn(name, below + (F.col("_ties") + 1) / 2)
-    return df.join(ranks.select(*keys, value, name), [*keys, value])
+    return per_value.join(offsets, [*keys, "_bucket"]).select(*keys, value, (below + (F.col("_ties") + 1) / 2).alias(name))
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rank with ties at their mean rank, from the running count of distinct values; safe for one large group."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return df.join(value_ranks(counts, keys, value, name), [*keys, value])
 
 
 def column_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -383,46 +383,10 @@ def stage_route_map(stages: DataFrame, mapping: DataFrame) -> DataFrame:
     return stages.join(mapping, ["rally_id", "stage_number"], "left")
 
 
-def similar_stages(geometry: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest other stages by |hairpins per km| + |km|/10 + |ascent|/100 differences.
+def similar_stages(geometry: DataFrame, k: int = 10, cell: int = 1024) -> DataFrame:
+    """The ``k`` nearest other stages by |hairpins per km| + |km|/10 + |ascent|/100 differences, ties by id (`nearest.nearest`)."""
+    from splitclock.operators.nearest import nearest
 
-    Exact without comparing all pairs: stages fall into cubic cells and meet only those of neighbouring cells. A stage
-    is finished when its k-th distance is below the cell width, since nothing nearer can lie outside; the others go
-    on with cells twice as wide.
-    """
-    from splitclock.session import cut
-
-    dims = {"_x": F.col("hairpin_density"), "_y": F.col("distance_km") / 10, "_z": F.col("total_ascent") / 100}
-    pts = geometry.select("stage_id", *[c.alias(n) for n, c in dims.items()]).where("_x IS NOT NULL AND _y IS NOT NULL AND _z IS NOT NULL")
-    pts = cut(pts)
-    row = pts.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in dims]).first()
-    n, span = row["n"], max([row[c] or 0.0 for c in dims] + [1e-9])
-    volume = 1.0
-    for c in dims:
-        volume *= max(row[c] or 0.0, span / 1000)
-    width = max((volume * k / max(n, 1)) ** (1 / 3), span / 2**30)
-    todo, done = pts, None
-    while True:
-        last = width > span
-        cell = [F.floor(F.col(c) / width).cast("bigint") for c in dims]
-        near = [F.explode(F.sequence(F.floor(F.col(c) / width).cast("bigint") - 1, F.floor(F.col(c) / width).cast("bigint") + 1)) for c in dims]
-        left = todo.select("stage_id", *dims)
-        for name, c in zip(("_a", "_b", "_c"), near):
-            left = left.withColumn(name, c)
-        right = pts.select(
-            F.col("stage_id").alias("similar_id"), *[F.col(c).alias(c + "2") for c in dims], *[c.alias(nm) for nm, c in zip(("_a", "_b", "_c"), cell)]
-        )
-        dist = F.abs(F.col("_x") - F.col("_x2")) + F.abs(F.col("_y") - F.col("_y2")) + F.abs(F.col("_z") - F.col("_z2"))
-        pairs = left.join(right, ["_a", "_b", "_c"]).where("stage_id <> similar_id").select("stage_id", "similar_id", dist.alias("similarity_score"))
-        w = W.partitionBy("stage_id").orderBy("similarity_score", "similar_id")
-        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if last:
-            return top if done is None else done.unionByName(top)
-        top = cut(top)
-        ok = top.groupBy("stage_id").agg(F.count(F.lit(1)).alias("_n"), F.max("similarity_score").alias("_d")).where((F.col("_n") == k) & (F.col("_d") < width))
-        hit = top.join(ok.select("stage_id"), "stage_id", "left_semi")
-        done = hit if done is None else done.unionByName(hit)
-        todo = cut(todo.join(ok.select("stage_id"), "stage_id", "left_anti"))
-        if todo.isEmpty():
-            return done
-        width *= 2
+    dims = [F.col("hairpin_density"), F.col("distance_km") / 10, F.col("total_ascent") / 100]
+    found = nearest(geometry.select(F.col("stage_id").alias("id"), *[c.alias(n) for c, n in zip(dims, ("x", "y", "z"))]), k, cell)
+    return found.select(F.col("id").alias("stage_id"), F.col("other").alias("similar_id"), F.col("distance").alias("similarity_score"), "rank")

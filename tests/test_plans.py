@@ -148,3 +148,58 @@ def test_reference_pace_equals_all_pairs(spark):
         else:
             assert r.seconds_per_km is None
     assert some > 30
+
+
+def near_plainly(rows, k):
+    real = [(i, (h, km / 10, up / 100)) for i, h, km, up in rows if None not in (h, km, up)]
+    out = {}
+    for i, p in real:
+        order = sorted((abs(p[0] - q[0]) + abs(p[1] - q[1]) + abs(p[2] - q[2]), j) for j, q in real if j != i)
+        out[i] = [(j, round(d, 9)) for d, j in order[:k]]
+    return out
+
+
+def test_nearest_with_outlier_cluster_and_stack(spark):
+    """A far outlier, a dense cluster, a stack of equal stages, and cells of at most eight points."""
+    rng = random.Random(21)
+    rows = [(f"c{n}", 1.0 + rng.random() / 1e6, 12.0 + rng.random() / 1e6, 300.0) for n in range(150)]
+    rows += [(f"w{n}", rng.random() * 5, rng.random() * 40, rng.random() * 900) for n in range(150)]
+    rows += [(f"s{n:02d}", 2.0, 20.0, 100.0) for n in range(40)] + [("far", 1e6, 5e6, 1e7), ("none", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "stage_id string, hairpin_density double, distance_km double, total_ascent double")
+    got = {}
+    for r in lookups.similar_stages(df, 5, cell=8).orderBy("stage_id", "rank").collect():
+        got.setdefault(r.stage_id, []).append((r.similar_id, round(r.similarity_score, 9)))
+    want = near_plainly(rows, 5)
+    assert set(got) == set(want)
+    for i, near in want.items():
+        assert [d for _, d in got[i]] == [d for _, d in near], i
+        assert got[i] == near or i[0] in "cw", i
+    assert lookups.similar_stages(df.limit(0), 5).count() == 0
+    few = lookups.similar_stages(df.where("stage_id in ('s00', 's01', 'far')"), 5).collect()
+    assert sorted((r.stage_id, r.similar_id, r.rank) for r in few) == [("far", "s00", 1), ("far", "s01", 2), ("s00", "far", 2), ("s00", "s01", 1), ("s01", "far", 2), ("s01", "s00", 1)]
+
+
+def test_no_cell_is_over_its_bound():
+    import numpy as np
+
+    from splitclock.operators.nearest import Tree, _cells
+
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(size=(5000, 3)) * 1e-9, rng.random((5000, 3)), [[1e12, 0, 0]], np.repeat(rng.random((1, 3)), 900, axis=0) + rng.random((900, 1)) * 1e-12])
+    points = np.unique(points, axis=0)
+    tree = Tree()
+    for _ in range(20):
+        cells = _cells(tree.arrays(), points)
+        counts = dict(zip(*np.unique(cells, return_counts=True), strict=True))
+        if max(counts.values()) <= 64:
+            break
+        tree.split(points[::3], cells[::3], counts, 32)
+    assert max(counts.values()) <= 64 and tree.cells < 2000
+
+
+def test_simplification_does_not_depend_on_the_piece(spark):
+    rng = random.Random(8)
+    rows = [("r", n, 40.0 + n * 1e-5 + rng.choice([0.0, 4.4915559e-5, 9.1e-5]), 30.0 + n * 1.3e-5, 0.0) for n in range(400)]
+    points = spark.createDataFrame(rows, "route_id string, seq long, lat double, lon double, alt double")
+    kept = [sorted(r.seq for r in simplify.simplify_rdp(points, 5.0, piece).collect()) for piece in (10, 20_000)]
+    assert kept[0] == kept[1] and 2 < len(kept[0]) < 400
