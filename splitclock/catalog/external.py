@@ -439,7 +439,14 @@ def stream_momentum(spark, d):
     return rounded(newest.select("driver_id", "rally_id", "f.*"))
 
 
-@query("stream_compare_predict")
+@query(
+    "stream_compare_predict",
+    with_ctes(
+        fx.TIMED,
+        """SELECT 'matched' AS comparison_status, count(*) AS predictions, count(DISTINCT t.driver_id) AS drivers, round(sum(t.time_seconds), 3) AS actual_seconds FROM timed t
+           JOIN (SELECT DISTINCT rally_id, stage_number + 1 AS stage_number FROM timed) before USING (rally_id, stage_number)""",
+    ),
+)
 def stream_compare_predict(spark, d):
     path = scratch_path(spark, "loop")
     t = fx.timed_results(spark, d).select("result_id", "rally_id", "stage_id", "stage_number", "driver_id", "car_class", "surface", "stage_length_km", "time_seconds")
@@ -449,4 +456,5 @@ def stream_compare_predict(spark, d):
         t.where(F.col("stage_number") == n).write.mode("append").parquet(f"{path}/feed")
         rows = live.stream_results(spark, f"{path}/feed", t.schema, "parquet")
         live.stream_compare_predict(rows, asked, before, path, f"{path}/state").awaitTermination()
-    return live.newest_version(spark, path).groupBy("comparison_status").agg(F.count(F.lit(1)).alias("predictions"))
+    closed = live.newest_log(spark, path).groupBy("comparison_status")
+    return rounded(closed.agg(F.count(F.lit(1)).alias("predictions"), F.countDistinct("driver_id").alias("drivers"), F.sum("actual_time").alias("actual_seconds")), 3)

@@ -9,6 +9,7 @@ from splitclock.catalog.registry import query, rounded, with_ctes
 from splitclock.functions import geo
 from splitclock.operators import lookups as lk
 from splitclock.operators import route
+from splitclock.session import stored
 
 
 def _hav(a1, o1, a2, o2):
@@ -232,7 +233,7 @@ def path_features_optimized(spark, d):
 def _knots(spark, d):
     """Every 20th sample of the great-circle path with the elevation its grid cell has, where it has one."""
     s = route.resample_path(points(spark, d), planar=False, keep_end=True)
-    k = route.elevation_knots(s)
+    k = stored(route.elevation_knots(s))
     grid = k.where("(sample / 20) % 9 <> 8").select(F.format_string("%.6f,%.6f", "lat", "lon").alias("grid_key"), (F.lit(200.0) + (F.col("sample") * 7 + F.col("route_id")) % 90).alias("elevation"))
     return lk.elevation_grid_join(k, grid.groupBy("grid_key").agg(F.max("elevation").alias("elevation")))
 

@@ -21,6 +21,7 @@ from splitclock.operators.series import (
     values_at,
     with_position,
 )
+from splitclock.session import stored
 
 KEY = ["route_id"]
 
@@ -190,7 +191,8 @@ def path_features(points: DataFrame, variant: str = "analyzer", step: float = 10
         samples = resample_path(points, step, size=size)
     bends = heading_curvature(samples, step, size=size, zero_is_positive=optimized, short_as_is=not optimized).withColumn("_abs", F.abs("signed_curvature"))
     k = F.col("_abs") if optimized else F.coalesce("_abs", F.lit(0.0))
-    bends = bends.withColumn("k", k)
+    # Sums and percentiles read the bends several times: the samples are walked once.
+    bends = stored(bends.select("route_id", "_abs", k.alias("k"), "radius_m", "sign_change"))
     hairpin = F.coalesce(F.col("radius_m") < hairpin_m, F.lit(False))
     g = bends.groupBy("route_id").agg(
         _count().alias("geometry_points"), (F.sum("_abs") * step).alias("curvature_sum"), F.avg("k").alias("avg_curvature"), F.max("k").alias("max_curvature"),
@@ -221,7 +223,8 @@ def index_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
 
 
 def elevation_knots(samples: DataFrame, every: int = 20) -> DataFrame:
-    """Every ``every``-th sample and the last one of each route."""
+    """Every ``every``-th sample and the last one of each route. The samples are walked once."""
+    samples = stored(samples)
     last = samples.groupBy("route_id").agg(F.max("sample").alias("_last"))
     return samples.join(last, KEY).where((F.col("sample") % every == 0) | (F.col("sample") == F.col("_last"))).withColumn("_k", F.ceil(F.col("sample") / every) + 1)
 
@@ -246,6 +249,7 @@ def grade_features(elevations: DataFrame, step: float = 10.0, size: int = CHUNK)
     c = in_chunks(elevations.withColumn("_p", F.col("sample") + 1), KEY, "_p", before=1, size=size)
     rise = F.coalesce(F.col("elevation") - F.lag("elevation").over(chunk_window(KEY, "_p")), F.lit(0.0))
     g = core(c.withColumn("rise", rise)).withColumns({"grade": F.col("rise") / step * 100, "abs_grade": F.abs(F.col("rise") / step * 100)})
+    g = stored(g.select("route_id", "rise", "grade", "abs_grade"))
     r = F.col("rise")
     stats = g.groupBy("route_id").agg(
         F.sum(F.when(r > 0, r).otherwise(0.0)).alias("total_ascent"), F.sum(F.when(r > 0, 0.0).otherwise(-r)).alias("total_descent"), F.max("abs_grade").alias("max_grade"), F.min("grade").alias("min_grade"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +14,6 @@ from pyspark.sql.streaming.state import GroupState
 from splitclock.operators.facts import class_best, ratio_to_class_best
 from splitclock.operators.history import momentum_columns, trend_of
 from splitclock.operators.lookups import compare_predictions
-from splitclock.operators.merge import merge_upsert
 from splitclock.plans.predict import log_predictions, predict_live
 
 
@@ -158,39 +157,68 @@ def stream_momentum(rows: DataFrame, baselines: DataFrame, root: str, checkpoint
 def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Per micro-batch: close the pending predictions of the stages that came in, then predict each rally's next stage.
 
-    ``requests``: one row per (driver, stage) with the columns of ``predict.predict_live``. The log is a versioned
-    table: batch ``n`` reads version ``n - 1`` and writes version ``n``, so a repeated batch gives the same result.
+    ``requests``: one row per (driver, stage) with the columns of ``predict.predict_live``. The log below ``root`` is only appended
+    to: a batch writes the predictions it closed and those it made, in `LOG_PARTS` folders by stage, and of earlier rows reads the
+    folders of its own stages alone. `newest_log` merges on read; `compact_log` bounds what a reader goes through. A repeated batch replaces
+    itself.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         _remember(batch, f"{root}/seen", batch_id)
-        stored = _remembered(batch, f"{root}/seen", batch_id).drop("batch")
-        actual = batch.select("rally_id", "stage_id", "driver_id", "time_seconds")
-        arrived = batch.select("stage_id").distinct().withColumn("_arrived", F.lit(True))
-        log = None
-        if batch_id > 0:
-            before = spark.read.parquet(f"{root}/log/version={batch_id - 1}")
-            marked = before.join(arrived, "stage_id", "left")
-            done = compare_predictions(marked.where("_arrived").drop("_arrived"), actual)
-            log = done.unionByName(marked.where("_arrived IS NULL").drop("_arrived"), allowMissingColumns=True)
-        live = ratio_to_class_best(stored.withColumn("normalized_class", F.col("car_class")))
+        stored_rows = _remembered(batch, f"{root}/seen", batch_id).drop("batch")
+        live = ratio_to_class_best(stored_rows.withColumn("normalized_class", F.col("car_class")))
         last = batch.groupBy("rally_id").agg(F.max("stage_number").alias("_last"))
         following = requests.join(last, "rally_id").where(F.col("stage_number") == F.col("_last") + 1).drop("_last")
-        fresh = log_predictions(predict_live(following, history, live), "live").withColumns(
+        own = log_predictions(predict_live(following, history, live), "live").withColumns(
             {"actual_time": F.lit(None).cast("double"), "error_pct": F.lit(None).cast("double"), "accepted": F.lit(None).cast("int")}
         )
-        # A stage predicted again replaces its pending prediction; closed ones stay.
-        if log is not None:
-            closed = log.where("comparison_status <> 'pending'")
-            fresh = fresh.join(closed.select("prediction_id"), "prediction_id", "left_anti")
-            fresh = merge_upsert(log, fresh.select(*log.columns), ["prediction_id"])
-        fresh.write.mode("overwrite").parquet(f"{root}/log/version={batch_id}")
+        if batch_id > 0:
+            arrived = batch.select("stage_id").distinct()
+            parts = [r["part"] for r in arrived.select(_log_part()).distinct().collect()]
+            before = spark.read.parquet(f"{root}/log").where((F.col("batch") < batch_id) & F.col("part").isin(parts)).drop("part")
+            pending = _newest(before.join(arrived, "stage_id", "left_semi")).where("comparison_status = 'pending'")
+            actual = batch.select("rally_id", "stage_id", "driver_id", "time_seconds")
+            own = own.unionByName(compare_predictions(pending, actual).select(*own.columns))
+        own.withColumn("part", _log_part()).hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(f"{root}/log/batch={batch_id}")
 
     return _start(rows, handle, checkpoint)
 
 
-def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    log = spark.read.parquet(f"{root}/log")
-    last = log.agg(F.max("version")).scalar()
-    return log.where(F.col("version") == last).drop("version")
+LOG_PARTS = 16
+
+
+def _log_part() -> Column:
+    return F.pmod(F.xxhash64("stage_id"), F.lit(LOG_PARTS)).cast("int").alias("part")
+
+
+def _log_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of the log with their ``batch``."""
+    return spark.read.parquet(f"{root}/log").drop("part")
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    """One row for each prediction: a closed one stays; of pending ones the last counts."""
+    rank = F.struct(F.col("comparison_status") != "pending", F.col("batch"))
+    fields = [c for c in log.columns if c not in ("prediction_id", "batch")]
+    return log.groupBy("prediction_id").agg(F.max_by(F.struct(*fields), rank).alias("_r")).select("prediction_id", "_r.*")
+
+
+def newest_log(spark: SparkSession, root: str) -> DataFrame:
+    """The log as it stands: one row for each prediction."""
+    return _newest(_log_rows(spark, root))
+
+
+def compact_log(spark: SparkSession, root: str) -> int:
+    """Write the log as it stands to a folder of its own, ``root/log-<n>``, and return n, the last batch in it: a reader of old
+    predictions takes that and goes through later batches alone (``compacted_log``)."""
+    log = _log_rows(spark, root)
+    last = log.agg(F.max("batch")).first()[0]
+    _newest(log.where(F.col("batch") <= last)).write.mode("overwrite").parquet(f"{root}/log-{last}")
+    return last
+
+
+def compacted_log(spark: SparkSession, root: str, last: int) -> DataFrame:
+    """`newest_log` from the log compacted up to batch ``last`` and the batches after it."""
+    old = spark.read.parquet(f"{root}/log-{last}").withColumn("batch", F.lit(last))
+    return _newest(old.unionByName(_log_rows(spark, root).where(F.col("batch") > last).select(*old.columns)))

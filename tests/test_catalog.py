@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connect
 
-SELECTION = ["class_best", "anomaly_tags", "merge_results", "merge_stored_table", "stream_momentum", "stream_dedup", "regression_metrics", "rank_agreement", "steward_estimate", "read_results", "predict_live", "path_features", "stream_class_best", "html_results_rows", "similar_stages", "contains_match", "history_reference_pace"]
+SELECTION = ["class_best", "anomaly_tags", "merge_results", "stream_dedup", "regression_metrics", "rank_agreement", "steward_estimate", "read_results", "predict_live", "path_features", "stream_class_best", "html_results_rows", "similar_stages", "contains_match", "history_reference_pace"]
 NAMES = list(entry.queries()) if os.environ.get("SPLITCLOCK_ALL") else SELECTION
 
 
@@ -18,7 +18,7 @@ def test_query(spark, tiny, name):
 
 
 #: Table scans in the final plan, where the rows of a plan are written once before.
-SCANS = {"training_set_trainer": 5, "training_set_profiles": 10, "predict_notional": 5, "predict_live": 6, "regression_metrics": 6, "rank_agreement": 6}
+SCANS = {"training_set_trainer": 5, "training_set_profiles": 10, "predict_notional": 5, "predict_live": 6, "regression_metrics": 6, "rank_agreement": 6, "path_features": 8, "grade_features": 8, "sparse_elevation": 8}
 
 
 @pytest.mark.parametrize("name", list(SCANS))

@@ -103,3 +103,22 @@ def test_an_older_revision_changes_nothing(spark, tmp_path):
         live.stream_momentum(live.stream_results(spark, f"{path}/in", schema, "parquet"), baselines, f"{path}/out", f"{path}/state", "revision").awaitTermination()
     changes = sorted((r.version, r.result_id, r.ratio_to_class_best, r.class_position) for r in spark.read.parquet(f"{path}/out/changes").collect())
     assert changes == [(0, "x", 1.0, 1), (0, "y", 1.1, 2), (1, "x", 1.25, 2), (1, "y", 1.0, 1)]
+
+
+def test_log_is_merged_on_read_and_compacted(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "prediction_id long, stage_id string, comparison_status string, predicted_time double, part int"
+    batches = [
+        [(1, "s2", "pending", 10.0, 0), (2, "s2", "pending", 11.0, 0), (3, "s9", "pending", 5.0, 1)],
+        [(1, "s2", "matched", 10.0, 0), (3, "s9", "pending", 6.0, 1)],
+        [(1, "s2", "pending", 99.0, 0), (2, "s2", "actual_missing", 11.0, 0)],
+    ]
+    want = [{(1, "pending", 10.0), (2, "pending", 11.0), (3, "pending", 5.0)}, {(1, "matched", 10.0), (2, "pending", 11.0), (3, "pending", 6.0)}, {(1, "matched", 10.0), (2, "actual_missing", 11.0), (3, "pending", 6.0)}]
+    shown = lambda df: {(r.prediction_id, r.comparison_status, r.predicted_time) for r in df.collect()}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.partitionBy("part").parquet(f"{root}/log/batch={n}")
+        assert shown(live.newest_log(spark, root)) == want[n]
+        if n == 1:
+            assert live.compact_log(spark, root) == 1
+    assert shown(live.compacted_log(spark, root, 1)) == want[2]
+    assert spark.read.parquet(f"{root}/log-1").count() == 3
