@@ -52,7 +52,11 @@ def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
 
 def fingerprint(text: bytes) -> int:
     """The majority bits of the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text)
+    return majority_bits(shingle_hashes(text))
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -197,13 +201,6 @@ def simhash_components(docs: DataFrame, most: int = 3, bucket: int = 50_000) ->
     return prints.join(of_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, most: int = 3) -> DataFrame:
-    """Keep the document with the smallest doc_id of every component; all columns stay. Rows with a NULL doc_id stay;
-    of repeated rows with the kept doc_id all stay."""
-    kept = simhash_components(docs, most).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-
-
 def simhash_query(spark, sf_dir: str) -> DataFrame:
     from splitclock.llm.common import table
 

@@ -282,15 +282,6 @@ def test_gray_index_equals_all_pairs():
     assert (local_components(len(codes), a, b) == local_components(len(codes), *np.nonzero(near))).all()
 
 
-def test_simhash_keeps_one_of_each(spark):
-    docs = documents(spark)
-    kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(1) == 1 and 2 not in ids and ids.count(13) == 2 and ids.count(None) == 1 and 6 in ids and 7 not in ids
-    assert simhash.drop_near_copies(empty(spark)).count() == 0
-
-
 # 2 -- language
 
 
