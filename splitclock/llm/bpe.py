@@ -72,6 +72,9 @@ class Vocabulary:
         right = np.array([model["vocab"][b] for _, b in pairs], np.int64)
         made = np.array([model["vocab"][a + b] for a, b in pairs], np.int64)
         self.merges = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(left, right, made, strict=True))}
+        # The same with a pair and (rank, token) as one number each, for short words.
+        self.shift = size.bit_length()
+        self.codes = {a << self.shift | b: r << self.shift | c for (a, b), (r, c) in self.merges.items()}
         # How a token was made: its rank (-1: a byte) and its two parts.
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), left, right
@@ -85,10 +88,12 @@ class Vocabulary:
                 if len(raw) > 1:
                     del words[raw]
         self.longest = max(map(len, [*self.inner, *self.final]))
-        # How long a token can be that begins with three given bytes.
-        self.reach: dict[bytes, int] = {}
+        # The lengths, from the longest, of the tokens that begin with three given bytes.
+        lengths: dict[bytes, set[int]] = {}
         for raw in self.inner:
-            self.reach[raw[:3]] = max(len(raw), self.reach.get(raw[:3], 0))
+            if len(raw) > 2:
+                lengths.setdefault(raw[:3], set()).add(len(raw))
+        self.lengths = {start: (*sorted(own, reverse=True), 2, 1) for start, own in lengths.items()}
         self.byte_inner = [self.inner[bytes([b])] for b in range(256)]
         self.byte_final = [self.final[bytes([b])] for b in range(256)] if suffix else self.byte_inner
         if not suffix:
@@ -130,17 +135,18 @@ class Vocabulary:
     def proposal(self, word: bytes) -> list[int]:
         """Tokens by greedy longest match."""
         out, at, n = [], 0, len(word)
-        inner, final, longest, reach = self.inner.get, self.final, self.longest, self.reach.get
+        inner, final, longest, lengths = self.inner.get, self.final, self.longest, self.lengths.get
         while True:
             if n - at <= longest:
                 token = final.get(word[at:])
                 if token is not None:
                     out.append(token)
                     return out
-            for k in range(min(n - at - 1, reach(word[at : at + 3], 2)), 0, -1):
-                token = inner(word[at : at + k])
-                if token is not None:
-                    break
+            for k in lengths(word[at : at + 3], (2, 1)):
+                if k < n - at:
+                    token = inner(word[at : at + k])
+                    if token is not None:
+                        break
             out.append(token)
             at += k
 
@@ -152,19 +158,20 @@ class Vocabulary:
 
     def _merged_short(self, ids: list[int]) -> list[int]:
         """The least rank of a short list is looked up at every step."""
-        get, none = self.merges.get, (1 << 60, -1)
-        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        get, none, shift = self.codes.get, 1 << 60, self.shift
+        mask = (1 << shift) - 1
+        ranks = [get(a << shift | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
             least = min(ranks)
-            if least is none:
+            if least == none:
                 break
             i = ranks.index(least)
-            ids[i : i + 2] = [least[1]]
+            ids[i : i + 2] = [made] = [least & mask]
             del ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = get(ids[i - 1] << shift | made, none)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = get(made << shift | ids[i + 1], none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
