@@ -176,7 +176,8 @@ def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFr
         if batch_id > 0:
             arrived = batch.select("stage_id").distinct()
             parts = [r["part"] for r in arrived.select(_log_part()).distinct().collect()]
-            before = spark.read.parquet(f"{root}/log").where((F.col("batch") < batch_id) & F.col("part").isin(parts)).drop("part")
+            schema = T.StructType([*own.schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("part", T.IntegerType())])
+            before = spark.read.schema(schema).parquet(f"{root}/log").where((F.col("batch") < batch_id) & F.col("part").isin(parts)).drop("part")
             pending = _newest(before.join(arrived, "stage_id", "left_semi")).where("comparison_status = 'pending'")
             actual = batch.select("rally_id", "stage_id", "driver_id", "time_seconds")
             own = own.unionByName(compare_predictions(pending, actual).select(*own.columns))
