@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState
 from splitclock.operators.facts import class_best, ratio_to_class_best
 from splitclock.operators.history import momentum_columns, trend_of
 from splitclock.operators.lookups import compare_predictions
-from splitclock.plans.predict import log_predictions, predict_live
+from splitclock.plans.predict import LiveHistory, log_predictions, predict_live
 
 
 def stream_results(spark: SparkSession, folder: str, schema: T.StructType, format: str = "json", files_per_trigger: int | None = None) -> DataFrame:
@@ -154,10 +154,11 @@ def stream_momentum(rows: DataFrame, baselines: DataFrame, root: str, checkpoint
     return _start(rally_form(again), handle, f"{checkpoint}/form", "update")
 
 
-def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFrame | LiveHistory, root: str, checkpoint: str) -> StreamingQuery:
     """Per micro-batch: close the pending predictions of the stages that came in, then predict each rally's next stage.
 
-    ``requests``: one row per (driver, stage) with the columns of ``predict.predict_live``. The log below ``root`` is only appended
+    ``requests``: one row per (driver, stage) with the columns of ``predict.predict_live``; ``history`` as there. What `live_history`
+    made is not made again for each micro-batch. The log below ``root`` is only appended
     to: a batch writes the predictions it closed and those it made, in `LOG_PARTS` folders by stage, and of earlier rows reads the
     folders of its own stages alone. `newest_log` merges on read; `compact_log` bounds what a reader goes through. A repeated batch replaces
     itself.
