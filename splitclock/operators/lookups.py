@@ -18,7 +18,7 @@ from splitclock.functions.text import (
     word_set,
 )
 from splitclock.operators.history import first_per_key
-from splitclock.operators.series import block_offsets, log_bucket
+from splitclock.operators.series import beside, block_offsets, log_bucket
 
 ACCEPTED_ERROR_PCT = 15.0
 
@@ -374,7 +374,7 @@ def _contained(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
 def elevation_grid_join(samples: DataFrame, elevations: DataFrame) -> DataFrame:
     """Elevations by six-decimal position key; NULL where the grid has none."""
     key = F.format_string("%.6f,%.6f", F.col("lat"), F.col("lon"))
-    grid = elevations.select("grid_key", "elevation")
+    grid = beside(elevations.select("grid_key", "elevation"))
     return samples.withColumn("grid_key", key).join(grid, "grid_key", "left")
 
 
