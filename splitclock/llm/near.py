@@ -11,7 +11,8 @@
 4. First each class goes on with the ``FIRST`` likeliest of its best partners in each key; what these links join needs no more
    comparison. Then all pairs
    between different groups go on. Nothing is left out for its size.
-5. Every link is verified on whole sets. Links make components; of a component the row with the smallest doc_id stays (rows without
+5. Every link is verified on whole sets. The pairs of step 4's second part, which may be nearly all pairs of a large group, are never
+   rows: each class names its partners, the sets of a block of partners come together in one task, and only links leave it. Links make components; of a component the row with the smallest doc_id stays (rows without
    one come last).
 
 Rows are told apart by doc_id and 128 bits of their text; of rows equal in both one stays. What is written on the way is removed
@@ -23,6 +24,7 @@ doc_id take part; an empty table gives no rows; further columns, of any type, ar
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ VALUES = BANDS * ROWS
 LEAST = 0.68
 BLOCK = 1024
 FIRST = 3
+PART = 128
+PLACE = ["key", "one", "two", "part_a", "part_b"]
 _RNG = np.random.default_rng(20)
 _TIMES = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -133,8 +137,45 @@ def _compared(low: np.ndarray, size: np.ndarray, group: np.ndarray, band: int, l
             yield x[keep], y[keep], agree[keep]
 
 
+def _partners(key: int, one: int, two: int, cls: np.ndarray, x: np.ndarray, y: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int, int, int, np.ndarray]]:
+    """The pairs (x, y) of rows of one block from ``at`` on as one row (key, one, two, part_a, part_b, cls, partners) for each class and
+    part of ``PART`` rows that it meets; a class that is only named has no partners of its own."""
+    place = ((x - at) // PART) * (1 << 32) + (y - at) // PART
+    order = np.lexsort((y, x, place))
+    place, x, y = place[order], x[order], y[order]
+    for a, b in itertools.pairwise(groups_of([place])):
+        own = groups_of([x[a:b]]) + a
+        for i, j in itertools.pairwise(own):
+            yield key, one, two, int(place[a] >> 32), int(place[a] & 0xFFFFFFFF), int(cls[x[i]]), cls[y[i:j]]
+        for k in np.setdiff1d(y[a:b], x[a:b]):
+            yield key, one, two, int(place[a] >> 32), int(place[a] & 0xFFFFFFFF), int(cls[k]), cls[:0]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a Jaccard similarity of at least 0.8, from the rows of `_partners` with their sets, sorted by part."""
+    for part in whole_keys(batches, PLACE, PART):
+        cuts = groups_of([part.column(c).to_numpy() for c in PLACE])
+        cls, partners, hashes = (part.column(c).combine_chunks() for c in ("cls", "partners", "hashes"))
+        left, right = [], []
+        for a, b in itertools.pairwise(cuts):
+            sets = {cls[k].as_py(): np.sort(hashes[k].values.to_numpy()) for k in range(a, b)}
+            for k in range(a, b):
+                own = cls[k].as_py()
+                for other in partners[k].as_py():
+                    x, y = sets[own], sets[other]
+                    # The sizes alone may rule a pair out; equal hashes meet when both sets are sorted as one.
+                    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+                        continue
+                    both = np.sort(np.concatenate((x, y)), kind="stable")
+                    if 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * (len(x) + len(y)):
+                        left.append(own)
+                        right.append(other)
+        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _candidates(best: bool):
-    """Pairs (a, b, agree) of classes of different groups; with ``best`` the likeliest partner in each key of each class alone."""
+    """Pairs of classes of different groups: with ``best`` (a, b, agree), the likeliest partner in each key of each class alone, else
+    the rows of `_partners`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_keys(batches, ["key", "one", "two"], 1 << 14):
@@ -160,8 +201,15 @@ def _candidates(best: bool):
                     starts = groups_of([x])
                     place = np.arange(len(x)) - np.repeat(starts[:-1], np.diff(starts))
                     x, y, agree = x[place < 1], y[place < 1], agree[place < 1]
-                out.append((cls[x], cls[y], agree))
-            if out:
+                if best:
+                    out.append((cls[x], cls[y], agree))
+                else:
+                    out.extend(_partners(int(key[a]), int(one[a]), int(two[a]), cls, x, y, int(a)))
+            if out and not best:
+                *place, own, others = zip(*out, strict=True)
+                ends = pa.array(np.append(0, np.cumsum([len(o) for o in others])).astype(np.int32))
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in place), pa.array(own, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(others)))], names=[*PLACE, "cls", "partners"])
+            elif out:
                 x, y, agree = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.record_batch([pa.array(x), pa.array(y), pa.array(agree)], names=["a", "b", "agree"])
 
@@ -212,8 +260,9 @@ def near_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("agree"), "b"))
     likely = likely.select("a", "b", rank.alias("rank")).where(F.col("rank") <= FIRST)
     links = links.unionAll(written(_verified(written(_ordered(likely), "pairs"), sets), "near"))
-    rest = _dealt(buckets, written(components(links), "found")).mapInArrow(_candidates(False), "a long, b long, agree double")
-    links = links.unionAll(written(_verified(written(_ordered(rest), "pairs"), sets), "near"))
+    rest = _dealt(buckets, written(components(links), "found")).mapInArrow(_candidates(False), ", ".join(f"{c} long" for c in PLACE) + ", cls long, partners array<long>")
+    rest = written(rest, "pairs").join(sets, "cls").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    links = links.unionAll(written(rest.mapInArrow(_linked, "a long, b long"), "near"))
     return components(links)
 
 

@@ -71,6 +71,34 @@ def test_pairs_of_a_large_key_are_dealt_in_blocks(spark, monkeypatch):
     assert len(together) == 50 * 49 // 2
 
 
+def test_pairs_below_the_limit_are_never_rows(spark, tiny, monkeypatch):
+    """A group whose members all agree in many MinHash values and yet lie below 0.8: its pairs, a square of its size, were rows of a
+    join. The two that are near are still found."""
+    rows = []
+    base = [f"w{k}" for k in range(300)]
+    for d in range(60):
+        own = list(base)
+        for k in range(8):
+            own[12 + 35 * k] = f"own{d}x{k}"
+        rows.append((d, " ".join(own), "en", "a", 1))
+    rows.append((99, rows[40][1].replace("w299", "end"), "en", "a", 1))
+    made = {}
+    whole = near.written
+
+    def kept(df, name):
+        out = whole(df, name)
+        made[name] = max(out.count(), made.get(name, 0))
+        return out
+
+    monkeypatch.setattr(near, "written", kept)
+    monkeypatch.setattr(near, "PART", 16)
+    out = corpus_pipeline.simhash_dedup(spark, documents(spark, rows), tiny)
+    assert {r.doc_id for r in out.collect()} == set(range(60))
+    group = groups_plainly(rows)
+    assert len(set(group)) == 60
+    assert made["pairs"] < 60 * 59 // 4
+
+
 def test_stage_keeps_one_row_of_each_group(spark, tiny):
     copy = prose(400, 150)
     rows = [*ROWS, *near_rows(), (None, prose(20, 100), "en", "b", 1), (None, copy, "en", "a", 1), (None, copy, "en", "a", 1), (77, copy, "en", "a", 1), (77, copy, None, "a", 1), (78, None, "en", "a", 1)]
