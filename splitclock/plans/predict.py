@@ -91,13 +91,16 @@ def _baseline(requests: DataFrame, results: DataFrame, legacy_sign: bool, *known
     profile = _surface_map(aggregates.surface_profile(results), ["adjustment", "experience"], "_profile_of")
     # Written, because the planner then knows whether they are few enough to go to the requests.
     leader = stored(class_best(results, ("stage_id", "normalized_class"), driver="driver_id"))
-    q = requests
+    # The form first: requests are shuffled to it while they are narrow, and to the drivers with two more columns.
+    q = before_stage_form(requests, results)
     for table in (base, profile, *known):
         q = q.join(table, "driver_id", "left")
     q = q.withColumn("surface", F.lower("surface"))
     own = F.col("_profile_of")[F.col("surface")]
     q = q.withColumns({"surface_adjustment": own["adjustment"], "surface_experience": own["experience"]}).drop("_profile_of")
-    q = history.momentum_columns(before_stage_form(q, results), "driver_baseline")
+    if "_experience_of" in q.columns:
+        q = q.withColumn("_experience", F.col("_experience_of")[F.col("surface")]["experience"]).drop("_experience_of")
+    q = history.momentum_columns(q, "driver_baseline")
     q = q.join(leader, ["stage_id", "normalized_class"], "left")
     factor = 1 + F.col("momentum") if legacy_sign else F.col("momentum_factor")
     q = q.withColumns(
@@ -121,7 +124,7 @@ def predict_notional(requests: DataFrame, results: DataFrame, geometry: DataFram
     profiles = profiles.select("driver_id", scoring.confidence_weight(F.col("confidence")).alias("_profile"))
     experience = _surface_map(aggregates.surface_experience(results), ["experience"], "_experience_of")
     b = _baseline(requests, results, legacy_sign, profiles, experience)
-    b = stored(b.withColumn("_experience", F.col("_experience_of")[F.col("surface")]["experience"]).drop("_experience_of"))
+    b = stored(b)
     failed = F.col("error").isNotNull()
     b = b.withColumns(
         {
