@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from splitclock import fixtures as fx
 from splitclock.catalog import external
 from splitclock.operators import merge as mg
-from splitclock.plans import ml, predict
+from splitclock.operators import series
+from splitclock.plans import features, ml, predict
 from splitclock.schemas import STAGE_RESULTS
 from splitclock.session import stored
 from splitclock.sources import html
@@ -115,3 +116,29 @@ def test_written_results_give_the_same_leaders(spark, tables):
     timed = stored(fx.timed_results(spark, tables))
     key = lambda df: sorted((r["result_id"], r["class_best_time"], r["ratio_to_class_best"]) for r in df.collect())
     assert key(fx.rated_results(spark, tables, timed)) == key(fx.rated_results(spark, tables))
+
+
+def test_percentiles_send_no_rows_through_the_driver(spark, monkeypatch):
+    """Many rows of few values are small files: the planner would send them, not the wanted buckets, to all tasks."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    rows = stored(spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 5).cast("double").alias("v")))
+    monkeypatch.setattr(series, "stored", kept)
+    out = series.exact_quantiles(rows, ["k"], "v", {"p": 0.5})
+    assert {r.k: r.p for r in out.collect()} == {0: 2.0, 1: 2.0, 2: 2.0}
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert joins and all("BuildRight" in line for line in joins)
+
+
+def test_series_steps_of_a_training_set_walk_narrow_rows(spark, tables, monkeypatch):
+    timed = stored(fx.timed_results(spark, tables)).withColumns({"normalized_class": F.col("car_class"), "wide": F.repeat(F.lit("x"), 500)})
+    geometry = stored(fx.stage_geometry(spark, tables))
+    written = []
+    monkeypatch.setattr(features, "stored", lambda df: written.append(df.columns) or stored(df))
+    out = features.training_set_trainer(timed, geometry)
+    assert sum("wide" in columns for columns in written) == 1 and len(written) > 2
+    assert out.count() > 0 and "wide" in out.columns and "_row" not in out.columns
