@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from splitclock.llm.common import byte_texts, column, groups_of, removed_after, whole_keys, written
+from splitclock.llm.common import byte_texts, column, groups_of, whole_keys, written
 from splitclock.llm.components import components
 from splitclock.llm.simhash import link_fingerprints, majority_bits, shingle_hashes
+from splitclock.session import removed_after
 
 WORDS = 5
 BANDS, ROWS = 24, 7

@@ -43,14 +43,19 @@ def _for_boosting(rows: DataFrame) -> DataFrame:
     return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def train_correction_model(rows: DataFrame, features: Sequence[str], label: str = "correction_factor", key: str = "result_id", **params) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Train on 80 % of the rows (by key hash), a tenth of them deciding when to stop. Gives the model, its metrics on
-    the other 20 %, and those rows with predictions."""
+def correction_rows(rows: DataFrame, features: Sequence[str], label: str = "correction_factor", key: str = "result_id") -> DataFrame:
+    """The rows that a correction model is trained on and judged by, written, with ``split`` and ``_early`` by key hash."""
     numeric = [f for f in features if f not in CATEGORICAL]
     filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric} | {c: F.coalesce(c, F.lit("unknown")) for c in CATEGORICAL if c in features})
     early = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10)) == 0
     # Boosting reads its rows once per tree level: write them before.
-    data = stored(random_split(filled.select(key, label, *features), key).withColumn("_early", early))
+    return stored(random_split(filled.select(key, label, *features), key).withColumn("_early", early))
+
+
+def train_correction_model(rows: DataFrame, features: Sequence[str], label: str = "correction_factor", key: str = "result_id", **params) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Train on 80 % of the rows (by key hash), a tenth of them deciding when to stop. Gives the model, its metrics on
+    the other 20 %, and those rows with predictions. ``rows`` may be what `correction_rows` wrote."""
+    data = rows if "_early" in rows.columns else correction_rows(rows, features, label, key)
     texts = [c for c in CATEGORICAL if c in features]
     values = data.agg(F.greatest(F.lit(0), F.lit(0), *[F.count_distinct(c) for c in texts])).first()[0]
     pipeline = boosted_pipeline(features, label, texts, validation="_early", bins=max(64, values + 2), **params)

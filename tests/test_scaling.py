@@ -1,6 +1,8 @@
 """What keeps files, parts, shuffles and writes bounded as the tables grow."""
 
 import datetime
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from splitclock.operators import merge as mg
 from splitclock.operators import series
 from splitclock.plans import features, ml, predict
 from splitclock.schemas import STAGE_RESULTS
-from splitclock.session import stored
+from splitclock.session import shared_dir, stored
 from splitclock.sources import html
 
 
@@ -142,3 +144,30 @@ def test_series_steps_of_a_training_set_walk_narrow_rows(spark, tables, monkeypa
     out = features.training_set_trainer(timed, geometry)
     assert sum("wide" in columns for columns in written) == 1 and len(written) > 2
     assert out.count() > 0 and "wide" in out.columns and "_row" not in out.columns
+
+
+def shuffle_files(spark):
+    """Shuffle files of the local session that hold rows."""
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().endswith(".data")}
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 999)
+    groups, dealt = stored(rows.repartition(4, "k").groupBy("k").count()), stored(rows.repartition(4, "k"))
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert groups.count() == 999 and dealt.select(F.sum("id")).first()[0] == 20_000 * 19_999 // 2
+
+
+def test_rows_of_a_model_are_all_that_is_left_of_their_way(spark, tables):
+    before = set(os.listdir(shared_dir(spark)))
+    rows = external.training_rows(spark, tables)
+    left = [f for f in set(os.listdir(shared_dir(spark))) - before if f.startswith("stored")]
+    assert [f"{shared_dir(spark)}/{f}" for f in left] == [rows.scratch]
+    assert {"split", "_early", *external.MODEL_FEATURES} <= set(rows.columns) and rows.count() >= 0
