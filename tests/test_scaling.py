@@ -171,3 +171,13 @@ def test_rows_of_a_model_are_all_that_is_left_of_their_way(spark, tables):
     left = [f for f in set(os.listdir(shared_dir(spark))) - before if f.startswith("stored")]
     assert [f"{shared_dir(spark)}/{f}" for f in left] == [rows.scratch]
     assert {"split", "_early", *external.MODEL_FEATURES} <= set(rows.columns) and rows.count() >= 0
+
+
+def test_each_repeat_of_a_permutation_ends_before_the_next(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id").alias("result_id"), (F.col("id") % 7).cast("double").alias("a"), F.lit(1.0).alias("b"), (F.col("id") % 7 * 2.0).alias("y"))
+    model = ml.boosted_pipeline(["a", "b"], "y", iterations=2, depth=3).fit(ml._for_boosting(rows))
+    written = []
+    monkeypatch.setattr(ml, "stored", lambda df: written.append(df.columns) or stored(df))
+    out = {r["feature"]: r["importance"] for r in ml.permutation_importance(model, rows, ["a", "b"], "y", repeats=3).collect()}
+    assert written == [["feature", "mse"]] * 3
+    assert out["a"] > 0.5 and abs(out["b"]) < 1e-9
