@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitclock.llm.common import BLANKS, table, written
+from splitclock.session import removed_after
 
 STATISTICS = ["n_words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share"]
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -212,13 +213,18 @@ def judged(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the learned list, with their columns.
 
-    The rows are written once with their statistics, without a shuffle of texts; the rules are learned from the numbers
-    of the labelled rows, and then the written rows are filtered.
+    No text is written or shuffled: the rules are learned from the numbers of the labelled rows, which are written and then removed;
+    the rows are judged as they are read again.
     """
+
+    def work():
+        return learned_rules(with_ratios(written(text_statistics(docs, "doc_id"), "statistics")), labels, **settings), []
+
+    rules = removed_after(docs.sparkSession, work)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = with_ratios(written(text_statistics(docs.select(row, F.col("doc_id").alias("_id"), "text"), "_row", "_id"), "statistics"))
-    rules = learned_rules(rows.drop("_row").withColumnRenamed("_id", "doc_id"), labels, **settings)
-    return rows.where(~base_failed() & ~rejects(rules)).select("_row.*")
+    # The number keeps the planner from working out the statistics anew in each condition of the filter.
+    rows = with_ratios(text_statistics(docs.select(row, "text"), "_row")).withColumn("_place", F.monotonically_increasing_id())
+    return rows.where(~base_failed() & ~rejects(rules) & (F.col("_place") >= 0)).select("_row.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

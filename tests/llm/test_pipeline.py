@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables and on the awkward one."""
 
+import os
+
 import corpus_pipeline
 import pytest
 from edge import documents, empty
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from splitclock.llm import bpe, pii, quality
 from splitclock.llm.common import table, written
+from splitclock.session import shared_dir
 
 
 def test_every_operator_has_a_query():
@@ -42,3 +45,16 @@ def test_stages_on_awkward_rows(spark, tiny, make):
         assert out.columns == frame.columns
         frame = written(out, "stage")
     assert corpus_pipeline.STAGES[-1][1](spark, frame, tiny).count() >= frame.count()
+
+
+def test_quality_rules_write_no_texts(spark, tiny, monkeypatch):
+    """The texts that were written with their statistics stayed on disk while all later stages ran."""
+    columns = []
+    monkeypatch.setattr(quality, "written", lambda df, name: columns.append(df.columns) or written(df, name))
+    before = set(os.listdir(shared_dir(spark)))
+    docs = table(spark, tiny, "documents")
+    out = corpus_pipeline.quality_rules(spark, docs, tiny)
+    assert columns and not {"_row", "text"} & {c for names in columns for c in names}
+    assert not set(os.listdir(shared_dir(spark))) - before
+    want = {r.doc_id for r in quality.judged(docs, table(spark, tiny, "labels")).where("kept").collect()}
+    assert {r.doc_id for r in out.collect()} == want and out.columns == docs.columns
