@@ -8,6 +8,9 @@ For the words of a block of texts that are not yet known:
    compatible is the encoding;
 3. the words of failing proposals, and only those, are merged exactly, lowest rank and leftmost first.
 
+All three run over arrays: the proposals walk a trie from all bytes at once, and a step of the merging does one merge in each
+word. Words of over `LONG` bytes are jumped through and merged one by one.
+
 The vocabulary is a tokenizers file: byte-level BPE with an end-of-word suffix, whose words come from its own normaliser and
 pattern. Texts with characters below U+0300 only are split here by the same rules; for others the file's own normaliser
 and splitter are called. Strings of special tokens in a text give their ids, as in the library.
@@ -34,7 +37,10 @@ from pyspark.sql import DataFrame
 from splitclock.llm.common import column, table, texts
 
 KNOWN = 400_000
-BLOCK = 1 << 20
+BLOCK = 1 << 21
+#: Longer words, in bytes, are not rows of a matrix.
+LONG = 64
+NONE = np.iinfo(np.int32).max
 
 
 def byte_characters() -> list[str]:
@@ -44,6 +50,43 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class PairTable:
+    """A number for each of some pairs of numbers, looked up for whole arrays: a hash table with linear probing."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, values: np.ndarray):
+        keys, bits = a << 32 | b, max(4, (8 * len(a)).bit_length())
+        self._shift, self._last = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self._keys[slot[left]] < 0]
+            self._keys[slot[free]] = keys[free]
+            left = left[self._keys[slot[left]] != keys[left]]
+            slot[left] = slot[left] + 1 & self._last
+        self._values[slot] = values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of the pairs; `NONE` for others."""
+        keys = a << 32 | b
+        slot = self._slot(keys)
+        found = self._keys[slot]
+        out = self._values[slot]
+        other = np.flatnonzero(found != keys)
+        out[other] = NONE
+        other = other[found[other] >= 0]
+        while len(other):
+            slot[other] = slot[other] + 1 & self._last
+            found = self._keys[slot[other]]
+            same = found == keys[other]
+            out[other[same]] = self._values[slot[other[same]]]
+            other = other[~same & (found >= 0)]
+        return out
+
+
 class Vocabulary:
     """Tokens, merges and their look-up tables."""
 
@@ -72,14 +115,10 @@ class Vocabulary:
         right = np.array([model["vocab"][b] for _, b in pairs], np.int64)
         made = np.array([model["vocab"][a + b] for a, b in pairs], np.int64)
         self.merges = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(left, right, made, strict=True))}
-        # The same with a pair and (rank, token) as one number each, for short words.
-        self.shift = size.bit_length()
-        self.codes = {a << self.shift | b: r << self.shift | c for (a, b), (r, c) in self.merges.items()}
+        self.pairs, self.made = PairTable(left, right, np.arange(len(made))), made
         # How a token was made: its rank (-1: a byte) and its two parts.
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), left, right
-        order = np.argsort(left << 32 | right)
-        self._keys, self._ranks = (left << 32 | right)[order], order.astype(np.int64)
         # Tokens that merging their own bytes does not give are never proposed.
         sound = np.ones(size, bool)
         sound[made] = self.compatible(left, right, top=False)
@@ -87,23 +126,24 @@ class Vocabulary:
             for raw in [w for w, k in words.items() if not sound[k]]:
                 if len(raw) > 1:
                     del words[raw]
-        self.longest = max(map(len, [*self.inner, *self.final]))
-        # The lengths, from the longest, of the tokens that begin with three given bytes.
-        lengths: dict[bytes, set[int]] = {}
-        for raw in self.inner:
-            if len(raw) > 2:
-                lengths.setdefault(raw[:3], set()).add(len(raw))
-        self.lengths = {start: (*sorted(own, reverse=True), 2, 1) for start, own in lengths.items()}
         self.byte_inner = [self.inner[bytes([b])] for b in range(256)]
         self.byte_final = [self.final[bytes([b])] for b in range(256)] if suffix else self.byte_inner
         if not suffix:
             self.final = self.inner
-
-    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of merging a with b, or a very large number."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], np.iinfo(np.int64).max)
+        # A trie of all tokens, the root's children first; of each node the token inside a word and at its end.
+        nodes = {b: b + 1 for b in range(256)}
+        ends: list[dict[int, int]] = [{}, {}]
+        for own, words in zip(ends, (self.inner, self.final), strict=True):
+            for raw, k in words.items():
+                node = 0
+                for b in raw:
+                    node = nodes.setdefault(node << 8 | b, len(nodes) + 1)
+                own[node] = k
+        keys = np.fromiter(nodes, np.int64, len(nodes))
+        self.trie = PairTable(keys >> 8, keys & 0xFF, np.fromiter(nodes.values(), np.int64, len(nodes)))
+        self.token_inner, self.token_final = np.full((2, len(nodes) + 1), -1, np.int64)
+        for tokens, own in zip((self.token_inner, self.token_final), ends, strict=True):
+            tokens[[*own]] = [*own.values()]
 
     def compatible(self, a: np.ndarray, b: np.ndarray, top: bool = True) -> np.ndarray:
         """Whether two neighbouring tokens stay apart. ``top=False`` lets the pair itself merge at the end.
@@ -114,13 +154,13 @@ class Vocabulary:
         """
         a, b = a.copy(), b.copy()
         apart = np.ones(len(a), bool)
-        limit = np.full(len(a), np.iinfo(np.int64).max)
+        limit = np.full(len(a), NONE, np.int64)
         live = np.arange(len(a))
         first = not top
         while len(live):
             x, y = a[live], b[live]
             if not first:
-                crossing = self.pair_rank(x, y) < limit[live]
+                crossing = self.pairs.get(x, y) < limit[live]
                 apart[live[crossing]] = False
                 live, x, y = live[~crossing], x[~crossing], y[~crossing]
             first = False
@@ -132,47 +172,77 @@ class Vocabulary:
             live = live[np.maximum(rx, ry) >= 0]
         return apart
 
+    def proposals(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, tokens per word) by greedy longest match. The bytes of the words lie one after another."""
+        stop = np.repeat(stops, stops - starts)
+        token, step = np.empty(len(data), np.int64), np.ones(len(data), np.int64)
+        at, node, depth = np.arange(len(data)), data + 1, 1
+        while len(at):  # from every byte on; a longer token takes the place of a shorter one
+            last = stop[at] == at + depth
+            found = np.where(last, self.token_final[node], self.token_inner[node])
+            hit = found >= 0
+            token[at[hit]], step[at[hit]] = found[hit], depth
+            at, node = at[~last], node[~last]
+            node = self.trie.get(node, data[at + depth])
+            at, node = at[node != NONE], node[node != NONE].astype(np.int64)
+            depth += 1
+        chosen = np.zeros(len(data), bool)
+        long = stops - starts > LONG
+        at = starts[~long]
+        while len(at):
+            chosen[at] = True
+            after = at + step[at]
+            at = after[after < stop[at]]
+        for first, end in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
+            steps, k, places = step[first:end].tolist(), 0, []
+            while k < len(steps):
+                places.append(k)
+                k += steps[k]
+            chosen[first + np.array(places)] = True
+        return token[chosen], np.add.reduceat(chosen, starts, dtype=np.int64)
+
     def proposal(self, word: bytes) -> list[int]:
-        """Tokens by greedy longest match."""
-        out, at, n = [], 0, len(word)
-        inner, final, longest, lengths = self.inner.get, self.final, self.longest, self.lengths.get
-        while True:
-            if n - at <= longest:
-                token = final.get(word[at:])
-                if token is not None:
-                    out.append(token)
-                    return out
-            for k in lengths(word[at : at + 3], (2, 1)):
-                if k < n - at:
-                    token = inner(word[at : at + k])
-                    if token is not None:
-                        break
-            out.append(token)
-            at += k
+        """Tokens of one word by greedy longest match."""
+        data = np.frombuffer(word, np.uint8).astype(np.int64)
+        return self.proposals(data, np.array([0]), np.array([len(word)]))[0].tolist()
 
     def merged(self, word: bytes) -> list[int]:
-        """Tokens by exact merging."""
+        """Tokens of one word by exact merging."""
         ids = [self.byte_inner[b] for b in word]
         ids[-1] = self.byte_final[word[-1]]
-        return self._merged_short(ids) if len(ids) <= 48 else self._merged_long(ids)
-
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        """The least rank of a short list is looked up at every step."""
-        get, none, shift = self.codes.get, 1 << 60, self.shift
-        mask = (1 << shift) - 1
-        ranks = [get(a << shift | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == none:
+        return self._merged_long(ids)
+
+    def merged_rows(self, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, tokens per word) by exact merging: one merge a word and step, of the least rank, leftmost
+        first. A word is a row of a matrix between two columns of a token that merges with nothing."""
+        width, no_token = int(counts.max()) + 2, len(self.strings)
+        column = np.arange(width - 2)
+        inside = column < counts[:, None]
+        ids = np.full((len(starts), width), no_token, np.int64)
+        raw = data[np.where(inside, starts[:, None] + column, 0)]
+        ids[:, 1:-1] = np.where(inside, np.array(self.byte_inner)[raw], no_token)
+        row = np.arange(len(starts))
+        ids[row, counts] = np.array(self.byte_final)[raw[row, counts - 1]]
+        ranks = np.full(ids.shape, NONE, np.int32)
+        ranks[:, :-1] = self.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(starts), -1)
+        flat, flat_ranks = ids.reshape(-1), ranks.reshape(-1)
+        after, before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        while True:
+            at = row * width + ranks[row].argmin(axis=1)
+            rank = flat_ranks[at]
+            going = rank != NONE
+            if not going.all():
+                row, at, rank = row[going], at[going], rank[going]
+            if not len(row):
                 break
-            i = ranks.index(least)
-            ids[i : i + 2] = [made] = [least & mask]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << shift | made, none)
-            if i < len(ranks):
-                ranks[i] = get(made << shift | ids[i + 1], none)
-        return ids
+            made, gone, left = self.made[rank], after[at], before[at]
+            right = after[gone]
+            flat[at], flat[gone], flat_ranks[gone] = made, no_token, NONE
+            after[at], before[right] = right, at
+            new = self.pairs.get(np.concatenate([made, flat[left]]), np.concatenate([flat[right], made]))
+            flat_ranks[at], flat_ranks[left] = new[: len(at)], new[len(at) :]
+        kept = ids != no_token
+        return ids[kept], kept.sum(axis=1)
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """A heap of (rank, place) over a linked list."""
@@ -205,37 +275,45 @@ class Vocabulary:
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids as little-endian unsigned 32-bit integers."""
         words = list(words)
+        if not words:
+            return iter(())
         raw = [w.encode() for w in words]
-        proposals = [self.proposal(w) for w in raw]
-        counts = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(counts.sum()))
-        stops = np.cumsum(counts)
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(sizes) - sizes
+        tokens, counts = self.proposals(data, starts, starts + sizes)
         owner = np.repeat(np.arange(len(words)), counts)
         border = np.flatnonzero(owner[:-1] == owner[1:])
-        pairs, which = np.unique(flat[border] << 32 | flat[border + 1], return_inverse=True)
+        pairs, which = np.unique(tokens[border] << 32 | tokens[border + 1], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         wrong = np.zeros(len(words), bool)
         wrong[owner[border[~good[which]]]] = True
-        data = flat.astype("<u4").tobytes()
-        ends = (4 * stops).tolist()
-        ids = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        failing = np.flatnonzero(wrong).tolist()
-        exact = [self.merged(raw[i]) for i in failing]
-        data = np.fromiter((t for x in exact for t in x), "<u4").tobytes()
-        at = 0
-        for i, x in zip(failing, exact, strict=True):
-            ids[i] = data[at : at + 4 * len(x)]
-            at += 4 * len(x)
+        ids = _pieces(tokens, counts)
+        least = 0
+        for most in (8, 16, 32, LONG):  # rows of about one width
+            own = np.flatnonzero(wrong & (sizes > least) & (sizes <= most))
+            if len(own):
+                for i, x in zip(own.tolist(), _pieces(*self.merged_rows(data, starts[own], sizes[own])), strict=True):
+                    ids[i] = x
+            least = most
+        for i in np.flatnonzero(wrong & (sizes > LONG)).tolist():
+            ids[i] = np.array(self.merged(raw[i]), "<u4").tobytes()
         return zip(words, ids, strict=True)
 
 
+def _pieces(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The tokens of each word as little-endian unsigned 32-bit integers."""
+    data, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _word_pattern(limit: int) -> re.Pattern:
-    """The file's pattern over the characters below ``limit``, classes written out."""
+    """The file's pattern over the characters below ``limit``, classes written out, the most frequent one first."""
     chars = [chr(c) for c in range(limit)]
     letters = re.escape("".join(c for c in chars if unicodedata.category(c)[0] == "L"))
     digits = re.escape("".join(c for c in chars if unicodedata.category(c)[0] == "N"))
     blanks = "\t\n\x0b\x0c\r \x85\xa0"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{re.escape(blanks)}{letters}{digits}]+")
+    return re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{re.escape(blanks)}{letters}{digits}]+")
 
 
 #: The pattern of the vocabulary file that `_word_pattern` writes out.
@@ -286,7 +364,7 @@ class Encoder:
                     new.update(words)
                     parts.append((-1, words))
             split.append(parts)
-        new.difference_update(self.known)
+        new = new.difference(self.known)  # as long as the new ones, not as the known ones
         if new and self.older:
             again = new & self.older.keys()
             self.known.update((w, self.older[w]) for w in again)

@@ -47,6 +47,18 @@ def test_bpe_verification_decides_as_merging_does():
     assert 0 < accepted < len(words)
 
 
+def test_bpe_merges_short_words_in_step(monkeypatch):
+    vocabulary = bpe.Vocabulary(bpe.public_vocabulary())
+    rng = np.random.default_rng(7)
+    letters = [*"etaoinshrdlcumqxz!|'0é\u00dfñ中😀"]
+    words = sorted({"".join(rng.choice(letters, n)) for n in rng.integers(1, 80, 3000)} | {"a" * n for n in range(1, 70)} | {"tion" * 16, "tion" * 17})
+    exact = {w: vocabulary.merged(w.encode()) for w in words}
+    alone = []
+    monkeypatch.setattr(vocabulary, "merged", lambda w: alone.append(len(w)) or exact[w.decode()])
+    assert {w: np.frombuffer(x, "<u4").tolist() for w, x in vocabulary.encode_words(words)} == exact
+    assert min(alone) > bpe.LONG and len(alone) < len(words) / 2
+
+
 def test_bpe_rows(spark):
     rows = bpe.round_trip(documents(spark), bpe.public_vocabulary()).collect()
     assert len(rows) == len(ROWS) and {r.n_tokens for r in rows if r.doc_id in (6, 7, 8)} == {0}
