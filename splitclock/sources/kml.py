@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +115,43 @@ def read_route_files(spark: SparkSession, folder: str, pattern: str = ROUTE_FILE
     return files.where(F.lower("path").rlike(pattern))
 
 
+#: Folders that the files of `write_texts` are dealt to; Spark lists so many by a job.
+FOLDERS = 64
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """One text file ``<key>=<value>.txt`` for each value of the first column of ``rows``, with a line for each text in the second.
+
+    On a mounted file system tasks write and name the files themselves: Spark's writer makes a folder and starts programs
+    for the rights of each file there. In other stores it is Spark's writer, and the files are parts in a folder a key.
+    """
+    key, line = rows.columns
+    where = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        rows.repartition(key).write.partitionBy(key).text(folder)
+        return
+    root = where.toUri().getPath()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = 0
+        lines = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for k, own in groupby(lines, itemgetter(0)):
+            name = f"{key}={NO_KEY if k is None else quote(str(k), safe='')}.txt"
+            to = os.path.join(root, f"{zlib.crc32(name.encode()) % FOLDERS:02d}")
+            os.makedirs(to, exist_ok=True)
+            begun = os.path.join(to, f".{uuid.uuid4().hex}")  # a task that is run again replaces whole files
+            with open(begun, "w", encoding="utf-8", newline="\n") as out:
+                out.writelines(f"{text or ''}\n" for _, text in own)
+            os.replace(begun, os.path.join(to, name))
+            files += 1
+        yield pa.record_batch([pa.array([files], pa.int64())], names=["files"])
+
+    os.makedirs(root, exist_ok=True)
+    rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def unprocessed_files(inventory: DataFrame, log: DataFrame) -> DataFrame:
     """Files of an inventory that the log does not hold with this size and date. ``log``: path, size_kb, modified, status."""
     return inventory.join(log.where("status = 'done'").select("path", "size_kb", "modified"), ["path", "size_kb", "modified"], "left_anti").select(*inventory.columns)

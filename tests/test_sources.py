@@ -41,6 +41,25 @@ DOC = """<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>D</name>
 <Placemark><name>Pin</name></Placemark></Document></kml>"""
 
 
+def test_texts_are_one_file_a_key_without_a_folder_each(spark, tmp_path):
+    rows = [(k, f"{k} ş{i}") for k in range(200) for i in range(k % 3 + 1)] + [(None, None), (None, None), (7, "")]
+    kml.write_texts(spark.createDataFrame(rows, "route_id BIGINT, value STRING"), str(tmp_path / "routes"))
+    found = {f.name: sorted(f.read_text("utf-8").splitlines()) for f in (tmp_path / "routes").rglob("*") if f.is_file()}
+    want = {f"route_id={k}.txt": sorted(v for j, v in rows if j == k) for k in range(200)}
+    assert found == want | {"route_id=__HIVE_DEFAULT_PARTITION__.txt": ["", ""]}
+    assert sum(f.is_dir() for f in (tmp_path / "routes").rglob("*")) <= kml.FOLDERS
+    listed = kml.file_inventory(spark, str(tmp_path / "routes"), r"\.txt$")
+    assert {r["name"] for r in listed.collect()} == set(found)
+
+
+def test_texts_go_to_other_stores_by_the_writer(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./in", f"file://{tmp_path}/in")
+    kml.write_texts(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "route_id BIGINT, value STRING"), "viewfs://texts/in/routes")
+    listed = kml.file_inventory(spark, "viewfs://texts/in/routes", r"\.txt$").collect()
+    assert sorted(r["path"].split("/")[-2] for r in listed) == ["route_id=1", "route_id=2"]
+
+
 def test_route_files(spark):
     zipped = io.BytesIO()
     with zipfile.ZipFile(zipped, "w") as z:
