@@ -72,3 +72,15 @@ def test_confidence(spark):
 def test_similarity_of_equal_and_empty_names(spark):
     df = spark.createDataFrame([("rally a", "rally a"), ("", ""), ("x", "")], "a STRING, b STRING")
     assert [r[0] for r in df.select(text.similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx([1.0, 1.0, 0.0])
+
+
+def test_driver_id_equals_the_steps_one_by_one(spark):
+    names = ["Çağan  Şenel 12", "a_b__C", "-x- -y-", "аб-b", "a б в c", "K̇al‌x", "İIıi", "Kelvin", "a b c", "", " ", "__", "日本", "é́.e", None]
+    slow = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(text.normalize_name_key(c), F.lit(" "), F.lit("-")), "[^a-z0-9-]+", ""), "-{2,}", "-"), "^-+|-+$", "")
+    assert one(spark, names, text.slugify) == [s or "unknown" for s in one(spark, names, slow)]
+
+
+def test_a_driver_id_is_derived_in_one_pass(spark):
+    """Each name is folded once: what a condition and its branch both name would be derived again."""
+    df = spark.createDataFrame([("Ada",)], "name string").select(F.coalesce(F.nullif("name", F.lit("")), text.build_driver_id(F.col("name"))).alias("id"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1

@@ -186,3 +186,31 @@ def test_empty_batch_and_empty_table(spark, tmp_path):
     assert merge.merge_stored(spark, root, none, "a").log.first()["incoming_rows"] == 0
     assert merge.merge_stored(spark, root, spark.createDataFrame(results([None, "r1"], [1]), RESULTS), "b").log.first()["inserted_rows"] == 4
     assert merge.stored_results(spark, root).count() == 4
+
+
+def test_labels_and_reports_are_those_of_a_comparison_of_whole_rows(spark):
+    """Rows meet by fingerprints: empty texts, blanks, NaN, negative zero and NULL count as in the comparison field by field."""
+    base = results(["r1", "r2"], range(4))
+    old = [(*r[:4], "" if i % 3 == 0 else r[4], *r[5:7], [float("nan"), -0.0, None, r[7]][i % 4], 1) for i, r in enumerate(base)]
+    new = [(*r[:4], " " if i % 2 else r[4], *r[5:7], [float("nan"), 0.0, None, r[7] + i % 5][i % 4], 1) for i, r in enumerate(base)]
+    new += [(*r[:8], 2) for r in new[:5]] + [(*r[:7], 9.0, 3) for r in new[3:8]] + results(["r3"], range(3)) + results(["r3"], [0, 1], 2, 1.0) + results(["r3"], [2], 1)
+    frame = lambda rows: spark.createDataFrame(rows, RESULTS)
+    known, batch = merge.canonicalize_results(frame(old), "seed"), merge.canonicalize_results(frame(new), "run", extra=("seq",))
+    m = merge.merge_results(known, frame(new), "run", recompute=False)
+    whole = merge.classify_incoming(known, batch, "seq")
+    labels = lambda df: sorted(tuple(r) for r in df.select("result_id", "_seq", "repeated", "outcome").collect())
+    assert labels(m.outcomes) == labels(whole) and len({r.outcome for r in whole.collect()}) == 4
+    reports = lambda df: sorted(tuple(r) for r in df.select(*df.columns[-3:]).collect())
+    expected = whole.where("outcome = 'conflict'").select("master_payload", "incoming_payload", "diff")
+    assert reports(m.conflicts) == reports(expected)
+    assert m.merged.count() == known.count() + whole.where("outcome = 'insert'").count()
+
+
+def test_a_merge_writes_its_labels_and_not_the_rows_again(spark, monkeypatch):
+    written = []
+    real = merge.stored
+    monkeypatch.setattr(merge, "stored", lambda df: written.append(df.columns) or real(df))
+    frame = lambda rows: spark.createDataFrame(rows, RESULTS)
+    merge.merge_results(merge.canonicalize_results(frame(results(["r1"], range(4))), "seed"), frame(results(["r1"], range(6))), "run", recompute=False)
+    rows, labels = written
+    assert "time_str" in rows and labels == ["result_id", "_seq", "repeated", "outcome", "_row"]
