@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from splitclock import fixtures as fx
 from splitclock.catalog.registry import query, rounded, with_ctes
 from splitclock.operators import facts, history
+from splitclock.session import stored
 
 KEYS = ("stage_id", "car_class")
 H = "PARTITION BY driver_id ORDER BY rally_date, rally_id, stage_number, result_id"
@@ -329,6 +330,12 @@ def average_rank(spark, d):
     return history.average_rank(fx.timed_results(spark, d), ["stage_id"], "time_seconds", "time_rank").select("result_id", "time_rank")
 
 
+def walked(spark, d, *columns):
+    """The named history columns of every result. Their medians and the rows they go into read one written table."""
+    rated = stored(fx.rated_results(spark, d, stored(fx.timed_results(spark, d))))
+    return stored(history.history_overall(rated).select("result_id", *columns))
+
+
 @query(
     "impute_surface_median",
     with_ctes(
@@ -338,7 +345,7 @@ def average_rank(spark, d):
     ),
 )
 def impute_surface_median(spark, d):
-    h = history.history_overall(fx.rated_results(spark, d))
+    h = walked(spark, d, "surface", "is_rookie", "driver_mean_ratio_overall")
     return rounded(history.impute_surface_median(h, ["driver_mean_ratio_overall"]).select("result_id", "driver_mean_ratio_overall"))
 
 
@@ -350,7 +357,7 @@ def impute_surface_median(spark, d):
     ).replace("SELECT result_id, round(coalesce(s", f", h AS MATERIALIZED (SELECT result_id, stddev_samp(ratio_to_class_best) OVER ({H} ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS s FROM rated)\nSELECT result_id, round(coalesce(s"),
 )
 def impute_median(spark, d):
-    h = history.history_overall(fx.rated_results(spark, d))
+    h = walked(spark, d, "driver_std_ratio_surface")
     return rounded(history.impute_median(h, ["driver_std_ratio_surface"]).select("result_id", "driver_std_ratio_surface"))
 
 
