@@ -357,7 +357,8 @@ pb AS (SELECT *, coalesce(avg(ratio_to_class_best) OVER (PARTITION BY driver_id
     ),
 )
 def training_set_profiles(spark, d):
-    out = features.training_set_profiles(classed(spark, d), fx.stage_geometry(spark, d))
+    _, rated, geometry = inputs(spark, d)
+    out = features.training_set_profiles(rated, geometry)
     return rounded(out.select("result_id", "baseline_ratio", "correction_factor", "hairpin_x_driver", "climb_x_driver"), climb_x_driver=4)
 
 

@@ -140,10 +140,14 @@ def prediction_features(df: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def training_set_profiles(results: DataFrame, geometry: DataFrame, least_rows: int = 10) -> DataFrame:
     """Rows with geometry, driver profile, expanding baseline and the correction factor within (0.8, 1.2)."""
+    results, geometry = stored(results), stored(geometry)
     joined = results_inner_geometry(facts.valid_results(results) if "status" in results.columns else results.where(F.col("time_seconds") > 0), geometry)
-    kept = stored(facts.min_history_filter(joined, least_rows))
-    based = stored(history.expanding_baseline(kept))
-    profiles = geometry_profile(results_left_geometry(results, geometry))
+    kept = stored(facts.min_history_filter(joined, least_rows).withColumn("_row", F.monotonically_increasing_id()))
+    # The baseline walks its own columns alone; what else a row holds meets it by the row's number.
+    walked = kept.select("_row", "driver_id", "rally_id", "stage_number", "result_id", "ratio_to_class_best")
+    based = stored(history.expanding_baseline(walked).select("_row", "baseline_ratio"))
+    based = kept.drop("baseline_ratio").join(based, "_row").drop("_row")
+    profiles = stored(geometry_profile(results_left_geometry(results, geometry)))
     based = based.withColumns({"momentum_factor": F.lit(1.0), "surface_adjustment": F.lit(1.0)})
     full = prediction_features(based, profiles).withColumn("correction_factor", F.col("ratio_to_class_best") / F.col("baseline_ratio"))
     return facts.ratio_band(full, "correction_factor", 0.8, 1.2)
