@@ -181,3 +181,63 @@ def test_each_repeat_of_a_permutation_ends_before_the_next(spark, monkeypatch):
     out = {r["feature"]: r["importance"] for r in ml.permutation_importance(model, rows, ["a", "b"], "y", repeats=3).collect()}
     assert written == [["feature", "mse"]] * 3
     assert out["a"] > 0.5 and abs(out["b"]) < 1e-9
+
+
+def files_of(df, folder):
+    return [f for f in df.inputFiles() if folder in f]
+
+
+def test_medians_read_a_written_history(spark, tables):
+    from splitclock.catalog import history as queries
+
+    for query in (queries.impute_median, queries.impute_surface_median):
+        out = query(spark, tables)
+        assert not files_of(out, tables) and out.count() == 600
+
+
+def test_training_profiles_read_written_inputs(spark, tables):
+    from splitclock.catalog import predictions
+
+    assert not files_of(predictions.training_set_profiles(spark, tables), tables)
+
+
+def test_a_feature_matrix_leaves_one_table(spark, tables):
+    given = stored(fx.timed_results(spark, tables))
+    before = set(os.listdir(shared_dir(spark)))
+    out = features.v1_feature_matrix(given, ["BUILDING"])
+    rows = set().union(*[{os.path.dirname(f.removeprefix("file://"))} for f in out.inputFiles()])
+    left = [n for n in set(os.listdir(shared_dir(spark))) - before if os.path.join(shared_dir(spark), n) not in rows]
+    # What is not read by the matrix are counts that its medians were found by.
+    wide = [n for n in left if len(spark.read.parquet(os.path.join(shared_dir(spark), n)).columns) > 8]
+    assert out.count() == given.count() == 600 and [n for n in wide if n not in given.scratch] == []
+
+
+def test_rows_are_not_numbered_where_rallies_are_split(spark):
+    from splitclock.operators.aggregates import temporal_split
+
+    rows = [("r1", "2024-01-01", 1, "a"), ("r2", "2024-02-01", 1, "b"), ("r2", "2024-02-01", 2, "c"), ("r3", "2024-03-01", None, "d")]
+    df = spark.createDataFrame(rows, "rally_id string, rally_date string, stage_number int, result_id string")
+    out = temporal_split(df)
+    assert "_pos" not in out._jdf.queryExecution().analyzed().toString()
+    assert {r.result_id: r.split for r in out.collect()} == {"a": "train", "b": "train", "c": "train"}
+    assert {r.result_id: r.split for r in temporal_split(df.where("rally_id = 'r2'")).collect()} == {"b": "train", "c": "test"}
+
+
+def test_every_request_has_its_features(spark, tables):
+    """Also the one that was five times as slow as the others, whose result no model learns from."""
+    timed = fx.timed_results(spark, tables).withColumn("normalized_class", F.col("car_class"))
+    timed = stored(timed.withColumn("time_seconds", F.when(F.col("driver_id") == 7, F.col("time_seconds") * 5).otherwise(F.col("time_seconds"))))
+    geometry = stored(fx.stage_geometry(spark, tables, timed))
+    trained, asked = features.training_set_trainer(timed, geometry), features.request_features(timed, geometry)
+    assert asked.count() == timed.where("stage_number <> 9").count() == 540 and asked.columns == trained.columns
+    assert asked.where("driver_id = 7").count() == 9 and trained.where("driver_id = 7").count() == 0
+
+
+def test_every_request_gets_the_correction_of_the_model(spark, tables, monkeypatch):
+    from splitclock.catalog import predictions
+
+    model = ml.train_correction_model(external.training_rows(spark, tables), external.MODEL_FEATURES, iterations=2, depth=2)
+    monkeypatch.setitem(external._trained, (spark.sparkContext.applicationId, tables), model)
+    got = predictions.predict_notional_from_model(spark, tables).groupBy("geometric_mode").count().collect()
+    hairpins = fx.stage_geometry(spark, tables).where("hairpin_density > 0").count()
+    assert {r.geometric_mode: r["count"] for r in got} == {"geometric": 60 * hairpins, "fallback": 60 * (10 - hairpins)}

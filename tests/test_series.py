@@ -59,6 +59,18 @@ def test_short_stage_history(races):
     assert got == expected
 
 
+def test_steps_over_numbered_rows_equal_those_over_the_order(races):
+    placed = history.positioned(races, name="_place")
+    for step, columns in (
+        (history.history_overall, ["driver_mean_ratio_overall", "driver_best_ratio_season", "driver_stages_completed", "driver_momentum"]),
+        (history.history_surface, ["driver_mean_ratio_surface"]), (history.history_short_stage, ["driver_short_stage_ratio"]),
+    ):
+        assert as_dict(step(placed, size=16, place="_place"), "result_id", *columns) == as_dict(step(races, size=16), "result_id", *columns)
+    whole = ["driver_avg_ratio_this_rally", "driver_mean_ratio_surface", "driver_short_stage_ratio", "driver_std_ratio_surface"]
+    numbered = history.positioned(history.history_rally(races), name="_place")
+    assert as_dict(history.history_features(numbered, place="_place"), "result_id", *whole) == as_dict(history.history_features(races), "result_id", *whole)
+
+
 def test_features_ignore_later_rows(races):
     cut = races.where("rally_date < '2024-07-01'")
     a = as_dict(history.history_features(cut), "result_id", "driver_mean_ratio_overall", "driver_momentum", "driver_short_stage_ratio")
