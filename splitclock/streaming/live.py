@@ -167,8 +167,9 @@ def stream_compare_predict(rows: DataFrame, requests: DataFrame, history: DataFr
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         _remember(batch, f"{root}/seen", batch_id)
-        stored_rows = _remembered(batch, f"{root}/seen", batch_id).drop("batch")
-        live = ratio_to_class_best(stored_rows.withColumn("normalized_class", F.col("car_class")))
+        # Only what the form is made of is read of all that the rallies have sent, and the leaders go to the rows.
+        seen = _remembered(batch, f"{root}/seen", batch_id).select("rally_id", "stage_id", "stage_number", "driver_id", F.col("car_class").alias("normalized_class"), "time_seconds")
+        live = ratio_to_class_best(seen, write=True)
         last = batch.groupBy("rally_id").agg(F.max("stage_number").alias("_last"))
         following = requests.join(last, "rally_id").where(F.col("stage_number") == F.col("_last") + 1).drop("_last")
         own = log_predictions(predict_live(following, history, live), "live").withColumns(

@@ -241,3 +241,18 @@ def test_every_request_gets_the_correction_of_the_model(spark, tables, monkeypat
     got = predictions.predict_notional_from_model(spark, tables).groupBy("geometric_mode").count().collect()
     hairpins = fx.stage_geometry(spark, tables).where("hairpin_density > 0").count()
     assert {r.geometric_mode: r["count"] for r in got} == {"geometric": 60 * hairpins, "fallback": 60 * (10 - hairpins)}
+
+
+def test_the_live_form_reads_no_more_than_it_is_made_of(spark, tables, tmp_path, monkeypatch):
+    from splitclock.streaming import live
+
+    timed = stored(fx.timed_results(spark, tables))
+    t = timed.select("result_id", "rally_id", "stage_id", "stage_number", "driver_id", "car_class", "surface", "stage_length_km", "time_seconds")
+    t.where("stage_number = 1").write.parquet(f"{tmp_path}/feed")
+    seen, real = [], live.ratio_to_class_best
+    monkeypatch.setattr(live, "ratio_to_class_best", lambda rows, **how: seen.append((set(rows.columns), how)) or real(rows, **how))
+    asked = stored(external.live_requests(spark, tables, timed))
+    before = predict.live_history(external.facts.ratio_to_class_best(external.classed(spark, tables, timed).drop("ratio_to_class_best", "class_best_time")))
+    live.stream_compare_predict(live.stream_results(spark, f"{tmp_path}/feed", t.schema, "parquet"), asked, before, str(tmp_path), f"{tmp_path}/state").awaitTermination()
+    assert seen == [({"rally_id", "stage_id", "stage_number", "driver_id", "normalized_class", "time_seconds"}, {"write": True})]
+    assert live.newest_log(spark, str(tmp_path)).count() == 60
